@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module of this subpackage that has it
 WHERE = {
     "op8_mixing": "mixing",
+    "op9_topk": "topk",
     "op10_chat": "chat",
 }
 
