@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module of this subpackage that has it
 WHERE = {
+    "op1_quality_rules": "quality_rules",
+    "op4_toxicity": "toxicity",
     "op8_mixing": "mixing",
     "op9_topk": "topk",
     "op10_chat": "chat",
