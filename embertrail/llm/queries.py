@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module of this subpackage that has it
 WHERE = {
     "op1_quality_rules": "quality_rules",
+    "op2_weak_labels": "weak_labels",
+    "op3_packing": "packing",
     "op4_toxicity": "toxicity",
     "op8_mixing": "mixing",
     "op9_topk": "topk",
