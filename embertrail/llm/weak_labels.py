@@ -79,14 +79,15 @@ def _hashed(word: bytes) -> tuple[int, int]:
     return zlib.crc32(text.lower().encode()) >> (32 - BITS), zlib.crc32(b"\0" + "".join(shape[:8]).encode()) >> (32 - BITS)
 
 
-def vector(raw: bytes | None, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket indices and weights: log counts, length 1."""
+def vector(raw: bytes | None, ratios: tuple[float, ...], cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket indices and weights: log counts of words and shapes, to length 1, then the statistics in steps of a tenth."""
     words = raw.split() if raw else []
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, n = np.unique(np.fromiter((i for w in words for i in cache[w]), np.int32, 2 * len(words)), return_counts=True)
     x = np.log1p(n).astype(np.float32)
-    return at, x / np.sqrt((x * x).sum())
+    steps = [zlib.crc32(f"\1{name} {int(min(r, 20.0) * 10)}".encode()) >> (32 - BITS) for name, r in zip(RATIOS, ratios, strict=True)]
+    return np.concatenate([at, np.array(steps, np.int32)]), np.concatenate([x / np.sqrt((x * x).sum()), np.full(len(steps), 0.3, np.float32)])
 
 
 def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
@@ -130,8 +131,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         cache: Cache = Cache(_hashed)
         for b in batches:
             texts = b.column(0).to_pylist()
-            rows = [vector(t, cache) for t in texts]
-            y = [known[votes(*text_stats(t))] for t in texts]
+            stats = [text_stats(t) for t in texts]
+            rows = [vector(t, r, cache) for t, (_, r) in zip(texts, stats, strict=True)]
+            y = [known[votes(*s)] for s in stats]
             yield pa.RecordBatch.from_arrays([pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array(y, pa.float64())], ["at", "x", "y"])
 
     share = min(1.0, sample / max(1, int(n.sum())))
@@ -143,8 +145,9 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         cache: Cache = Cache(_hashed)
         for b in batches:
             texts = b.column(1).to_pylist()
-            pattern = [votes(*text_stats(t)) for t in texts]
-            raw = np.array([float(w[at] @ x) for at, x in (vector(t, cache) for t in texts)]) + w[-1]
+            stats = [text_stats(t) for t in texts]
+            pattern = [votes(*s) for s in stats]
+            raw = np.array([float(w[at] @ x) for at, x in (vector(t, r, cache) for t, (_, r) in zip(texts, stats, strict=True))]) + w[-1]
             s = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32()), pa.array([known.get(c, 0.5) for c in pattern], pa.float64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
