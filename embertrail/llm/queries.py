@@ -14,6 +14,7 @@ WHERE = {
     "op3_packing": "packing",
     "op4_toxicity": "toxicity",
     "op8_mixing": "mixing",
+    "op5_html_text": "html_text",
     "op9_topk": "topk",
     "op10_chat": "chat",
 }
