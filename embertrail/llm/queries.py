@@ -15,6 +15,7 @@ WHERE = {
     "op4_toxicity": "toxicity",
     "op8_mixing": "mixing",
     "op5_html_text": "html_text",
+    "op6_pii": "pii",
     "op9_topk": "topk",
     "op10_chat": "chat",
 }
