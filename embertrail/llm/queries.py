@@ -16,6 +16,7 @@ WHERE = {
     "op8_mixing": "mixing",
     "op5_html_text": "html_text",
     "op6_pii": "pii",
+    "op7_near_dedup": "near_dedup",
     "op9_topk": "topk",
     "op10_chat": "chat",
 }
