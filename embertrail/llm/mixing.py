@@ -62,12 +62,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs (doc_id, text, source, ...) -> keep columns, size, source_size, target, taken, passes (position, words of each copy), position of the first."""
-    spark = docs.sparkSession
     base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
-    base = materialise(base, "mixing")
-    n = base.count()
-    # 16 bits of hash in the name order of the digest, cut into buckets by range, so that bucket order is digest order
+    if "text" not in keep:  # small rows are kept, so that texts are read once; whole documents are read again instead
+        base = materialise(base, "mixing")
+    n = docs.count()
+    # buckets are ranges of the digest, so that bucket order is digest order
     bits = min(48, max(4, (n // BUCKET_ROWS).bit_length()))
     base = base.withColumn("_b", F.shiftright(F.conv(F.substring("_h", 1, 12), 16, 10).cast("long"), 48 - bits))
     sums = base.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
