@@ -5,7 +5,7 @@ from __future__ import annotations
 _EDGE = b".,;:!?*$#%&\"'()[]{}<>|/\\-_=+~`^@"
 PREFIXES = (4, 5, 6)
 #: Entries of a worker's cache of word -> features.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def word_features(word: bytes) -> tuple[bytes, ...]:
@@ -16,14 +16,19 @@ def word_features(word: bytes) -> tuple[bytes, ...]:
 
 
 class Cache(dict):
-    """word -> make(word); forgets all when full, so that its size is bounded."""
+    """word -> make(word) of the last `most` to 2 * `most` words seen: when full, its words become the old generation, from which those
+    that are met again return. So frequent words stay and its size is bounded."""
 
     def __init__(self, make, most: int = CACHE):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.make(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out

@@ -15,6 +15,7 @@ gives an empty result; the special tokens' own strings in a text are read as the
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -39,12 +40,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def word_ids(path: str):
-    """word (bytes) -> its ids as little-endian unsigned 32-bit integers."""
-    from tokenizers import Tokenizer
+#: How the tokenizer file parts a lower-cased word, for words of printable ASCII and of Latin letters with accents.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f]+")
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: Byte-level vocabularies write a byte as the character of its number where that is visible, the others as those from 256 on, in turn.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_WORKER: dict[str, Cache] = {}
 
-    t = Tokenizer.from_file(path)
-    return lambda w: np.array(t.encode(w.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+def word_ids(path: str) -> Cache:
+    """word (bytes) -> its ids as little-endian unsigned 32-bit integers. A worker keeps its cache from task to task. Words of printable
+    ASCII and accented Latin letters go to the tokenizer's model by pieces, which are cached too; all others, and special tokens, take the tokenizer's whole way."""
+    if path not in _WORKER:
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        model = whole.model
+        pieces = Cache(lambda p: np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes(), 100_000)
+
+        def make(w: bytes) -> bytes:
+            text = w.decode(errors="replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                return b"".join([pieces[p] for p in _PIECES.findall(text.lower())])
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+        _WORKER[path] = Cache(make, 400_000)
+    return _WORKER[path]
 
 
 def lower_bound(lengths: np.ndarray, n: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -96,7 +118,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: Cache = Cache(word_ids(path))
+        cache = word_ids(path)
         for b in batches:
             owner, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(len(keep)).to_pylist()):
