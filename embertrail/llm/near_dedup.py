@@ -10,7 +10,8 @@ Candidates never come out as all pairs of a bucket:
 1. keys A_i and B_j that nobody shares are dropped before pairs of them are formed (nothing is lost: such a pair is nobody else's);
 2. each bucket ties its members to one pivot. A node first checks the pivot it shares most buckets with, on the full sets; pivots that
    are then still in other components are all checked;
-3. exact rest: where a bucket still holds several components, its nodes go through an exact prefix-filter join (two sets at 0.75 share
+3. where a bucket still holds several components, its nodes first check a few other pivots;
+4. exact rest: what is still mixed go through an exact prefix-filter join (two sets at 0.75 share
    one of their rarest quarter of shingles), checking pairs in different components only. No cap on buckets or partners.
 
 Links within a component that are not needed to tie it together are not listed; the result is the component of every document.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ready, table
@@ -36,6 +37,10 @@ from .features import Cache
 
 WORDS, PERCENT = 5, 75
 TABLES, ROWS = 12, 2
+#: Tables that two linked documents share at least: at a similarity of 0.75 fewer come about once in 25,000 pairs, and less often above.
+SHARED = 4
+#: Rounds with other pivots, and pivots a node checks in each. They save work; what they miss the exact rest finds.
+PIVOTS, TRIES = 2, 2
 _RNG = np.random.default_rng(7)
 _XOR, _ODD = _RNG.integers(0, 1 << 63, 2 * TABLES * ROWS, dtype=np.uint64), _RNG.integers(0, 1 << 63, 2 * TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -144,6 +149,15 @@ def _labelled(rows: DataFrame, column: str, known: DataFrame, name: str) -> Data
     return rows.join(known.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _open(tabled: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
+    """bucket, node, c: the buckets that hold several components, and of them the nodes that share enough tables to have a link there."""
+    labelled = _labelled(tabled.join(pivots.select("bucket"), "bucket", "left_semi"), "node", known, "c")
+    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
+    held = labelled.join(mixed, "bucket", "left_semi")
+    enough = held.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED).select("node")
+    return materialise(held.join(enough, "node", "left_semi"), "dedup-mixed")
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """nodes (node, c) -> pairs in different components that share one of their rarest shingles: all pairs that may reach the similarity."""
     rows = sets.join(nodes, "node")
@@ -156,16 +170,16 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
     spelt = rows.select("node", "c", "s").mapInArrow(spell, "node long, c long, shingle long, n long")
     often = spelt.groupBy("shingle").agg(F.count("*").alias("f"), F.min("c").alias("least"), F.max("c").alias("most"))
-    from pyspark.sql import Window
-
     # a document's own shingles by rarity: its group is one document
     rarest = Window.partitionBy("node").orderBy("f", "shingle")
     ranked = spelt.join(often, "shingle").withColumn("r", F.row_number().over(rarest))
-    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("least <> most").select("shingle", "node", "c", "n")
+    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("least <> most").select("shingle", "node", "c", "n", (F.col("n") - F.col("r")).alias("after"))
     first = materialise(first, "dedup-prefix")
-    other = first.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
+    other = first.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
+    # what is shared from here on, and so at all where this is the first shared shingle, is bounded by what is left of either
+    enough = (100 + PERCENT) * (1 + F.least("after", "after_b")) >= PERCENT * (F.col("n") + F.col("nb"))
     close = (100 * F.col("n") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("n"))
-    return first.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & close).select(F.col("node").alias("a"), "b").distinct()
+    return first.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & close & enough).select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -193,13 +207,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = _labelled(_labelled(star.select("a", "b"), "a", known, "ca"), "b", known, "cb").where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
     links = materialise(links.unionAll(verified(rest, sets)), "dedup-links")
     known = materialise(components(links), "dedup-components")
-    # 3. buckets that still hold several components
-    labelled = _labelled(tabled.join(pivots.select("bucket"), "bucket", "left_semi"), "node", known, "c")
-    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
-    open_ = materialise(labelled.join(mixed, "bucket", "left_semi").select("node", "c").distinct(), "dedup-open")
+    # 3. buckets that still hold several components: other pivots first, then the exact rest
+    seen = star.select("a", "b")
+    for salt in range(1, 1 + PIVOTS):
+        open_ = _open(tabled, pivots, known)
+        pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(salt))).alias("p"))
+        met = open_.join(pivot, "bucket").where(F.col("p.c") != F.col("c")).groupBy("node", F.col("p.node").alias("other")).agg(F.count("*").alias("hits"))
+        turn = F.row_number().over(Window.partitionBy("node").orderBy(F.col("hits").desc(), "other"))
+        tried = met.withColumn("turn", turn).where(F.col("turn") <= TRIES).select(F.col("other").alias("a"), F.col("node").alias("b"))
+        tried = materialise(tried.join(seen, ["a", "b"], "left_anti"), "dedup-tried")
+        seen = seen.unionAll(tried)
+        links = materialise(links.unionAll(verified(tried, sets)), "dedup-links")
+        known = materialise(components(links), "dedup-components")
+    open_ = materialise(_open(tabled, pivots, known).select("node", "c").distinct(), "dedup-open")
     if not open_.isEmpty():
-        # pairs with a pivot have been checked
-        seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         late = materialise(verified(prefix_pairs(open_, sets).join(seen, ["a", "b"], "left_anti"), sets), "dedup-late")
         if not late.isEmpty():
             known = materialise(components(links.unionAll(late)), "dedup-components")
