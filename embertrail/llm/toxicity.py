@@ -87,8 +87,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = materialise(sample.select(F.col("text").cast("binary").alias("text"), "positive"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: Cache = Cache(word_features)
+        cache: Cache = Cache(word_features, 50_000)
         seen: dict[bytes, list[int]] = {}
+
+        def part() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["f", "p", "u"])
+            seen.clear()
+            return out
+
         for b in batches:
             for text, positive in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own: set[bytes] = set()
@@ -96,7 +102,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                     own.update(cache[w])
                 for f in own:
                     seen.setdefault(f, [0, 0])[0 if positive else 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["f", "p", "u"])
+                if len(seen) > 100_000:  # part of the counts; Spark adds them up
+                    yield part()
+        yield part()
 
     n_p, n_u = (sample.where(F.col("positive") == x).count() for x in (True, False))
     rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + F.lit(0.5)) / F.lit(float(max(1, n_u)))
