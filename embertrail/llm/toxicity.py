@@ -26,7 +26,8 @@ from .features import Cache, word_features
 
 #: The bounds of the training sample, and of the vocabulary.
 POSITIVES, UNLABELLED, VOCABULARY = 4000, 12_000, 8192
-LEAST_POSITIVES, LEAST_Z = 3, 4.0
+#: A feature must be in so many positives, stand out by so many standard errors, and say toxic with this estimated precision.
+LEAST_POSITIVES, LEAST_Z, LEAST_PRECISION = 3, 4.0, 0.7
 
 
 class Model:
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + F.lit(0.5)) / F.lit(float(max(1, n_u)))
     z = (rate_p - rate_u) / F.sqrt(rate_p / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
     counts = sample.mapInArrow(count, "f binary, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (rate_p >= F.lit(3.0) * rate_u)).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
+    chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.lit(prior) * rate_p >= F.lit(LEAST_PRECISION) * rate_u)).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
     vocabulary = {bytes(r["f"]): i for i, r in enumerate(chosen.select("f").collect())}
     model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
