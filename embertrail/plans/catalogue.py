@@ -1,9 +1,15 @@
-"""The engine's query catalogue."""
+"""The engine's query catalogue: name -> (query, SQL or None)."""
+
+from __future__ import annotations
+
+from embertrail.plans import q_objects, q_space, q_telemetry
+
+ALL = q_objects.QUERIES | q_telemetry.QUERIES | q_space.QUERIES
 
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
