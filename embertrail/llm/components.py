@@ -1,11 +1,42 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table.
+
+Up to LOCAL edges (a bound that is checked) one task joins them with union-find. Larger tables are first contracted partition by
+partition the same way, then go through alternating large-star and small-star steps until nothing changes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ready
+
+#: Edges that one task takes: 16 bytes each, and a dictionary of their nodes.
+LOCAL = 500_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> (node, least node that it reaches by these edges), for every node of theirs."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array([find(n) for n in nodes], np.int64))], ["a", "b"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,10 +58,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> node, component: the least node that it reaches. Nodes without edges are not listed; each round is written to the
-    shared folder, so a lost executor costs no more than the round."""
-    now = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
+def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
+    """edges (a, b) -> node, component: the least node that it reaches. Nodes without edges to others are not listed; every step is
+    written to the shared folder, so a lost executor costs no more than the step."""
+    ready(edges.sparkSession)
+    now = materialise(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), "edges")
+    n = now.count()
+    if n <= local:
+        return materialise(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "components").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now = materialise(now.mapInArrow(_contract, "a long, b long").where("a <> b").distinct(), "edges")
     state = _state(now)
     while state[0]:
         now = materialise(_small_star(_large_star(now)), "edges")

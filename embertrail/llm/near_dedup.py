@@ -40,7 +40,7 @@ TABLES, ROWS = 12, 2
 #: Tables that two linked documents share at least: at a similarity of 0.75 fewer come about once in 25,000 pairs, and less often above.
 SHARED = 4
 #: Rounds with other pivots, and pivots a node checks in each. They save work; what they miss the exact rest finds.
-PIVOTS, TRIES = 2, 2
+PIVOTS, TRIES = 2, 3
 _RNG = np.random.default_rng(7)
 _XOR, _ODD = _RNG.integers(0, 1 << 63, 2 * TABLES * ROWS, dtype=np.uint64), _RNG.integers(0, 1 << 63, 2 * TABLES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
