@@ -5,7 +5,7 @@ from __future__ import annotations
 _EDGE = b".,;:!?*$#%&\"'()[]{}<>|/\\-_=+~`^@"
 PREFIXES = (4, 5, 6)
 #: Entries of a worker's cache of word -> features.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def word_features(word: bytes) -> tuple[bytes, ...]:

@@ -53,7 +53,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes() -> Cache:
-    return Cache(lambda w: xxhash.xxh3_64_intdigest(w))
+    return Cache(xxhash.xxh3_64_intdigest, 50_000)
 
 
 def shingles(raw: bytes | None, cache: Cache) -> np.ndarray:
