@@ -48,9 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in the order of training positions. A copy at the edge of its source's target is in if at
     least half of its words are; documents without words are not taken."""
     mixed = mixing.mix(docs, keep=tuple(docs.columns))
-    copies = mixed.select(*[F.col(c) for c in docs.columns], F.col("size").alias("_size"), F.explode("passes").alias("_copy"))
-    copies = copies.where((F.col("_copy.words") > 0) & (2 * F.col("_copy.words") >= F.col("_size")))
-    return copies.orderBy("_copy.position").select(*docs.columns)
+    copies = mixed.select("row", "size", F.explode("passes").alias("copy")).where((F.col("copy.words") > 0) & (2 * F.col("copy.words") >= F.col("size")))
+    return copies.orderBy("copy.position").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

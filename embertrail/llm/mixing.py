@@ -61,7 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> keep columns, size, source_size, target, taken, passes (position, words of each copy), position of the first."""
+    """docs (doc_id, text, source, ...) -> row (a struct of the keep columns, whatever their names), size, source_size, target, taken,
+    passes (position, words of each copy), position of the first."""
     base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
     if "text" not in keep:  # small rows are kept, so that texts are read once; whole documents are read again instead
@@ -90,14 +91,14 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         for r, s in enumerate(SCHEDULES[1:], 1):
             p = F.when(F.col("rank") % len(SCHEDULES) == r, position(begun, s)).otherwise(p)
         when.append(p)
-    return out.select("_row.*", "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), when[0].alias("position"),
+    return out.select(F.col("_row").alias("row"), "size", "source_size", "target", sum(took[1:], took[0]).alias("taken"), when[0].alias("position"),
                       F.array(*[F.struct(w.alias("position"), t.alias("words")) for w, t in zip(when, took, strict=True)]).alias("passes"))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
+    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
 #: The same by plain windows.

@@ -53,7 +53,7 @@ class Model:
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk. rows: the feature indices of each text."""
-    sizes = np.array([len(r) for r in rows])
+    sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate([*rows, np.array([], np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
     share_p, share_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())

@@ -42,8 +42,8 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "a calm text") for i in range(1, 200)] + [(900, None), (901, ""), (None, "idiot"), (3, "you idiot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
-    labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(1, 150)] + [(150, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "a calm text") for i in range(1, 800)] + [(900, None), (901, ""), (None, "idiot"), (3, "you idiot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(1, 700)] + [(700, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     out = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.score_column(model, F.col("text")).alias("s")).collect()}
     assert out[3] > 0.5 > out[4] and out[900] == out[901] < 0.5 and out[None] > 0.5
