@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,21 +17,35 @@ def drift_corrected(y: Column, time: Column, per_slice: float) -> Column:
     return y - time * F.lit(per_slice)
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-
-
-def silhouette(points: DataFrame, key: str, vec: str, label: str, blocks: int = 16) -> DataFrame:
+def silhouette(points: DataFrame, key: str, vec: str, label: str, block_rows: int = 512) -> DataFrame:
     """Euclidean silhouette of each point: (b - a) / max(a, b), with a = 0 for a cluster of one and null for one cluster alone.
 
-    Every pair's distance is needed, so points meet in blocks: one side is dealt over `blocks`, the other copied to each; means by label
-    are added up before the shuffle, so what moves is one row per point, label and task."""
-    left = points.select(F.col(key).alias("k"), F.col(vec).alias("v"), F.col(label).alias("l"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = points.select(F.col(key).alias("k2"), F.col(vec).alias("v2"), F.col(label).alias("l2"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    sums = left.join(right, "b").where("k <> k2").groupBy("k", "l", "l2").agg(F.sum(_distance("v", "v2")).alias("s"), F.count("*").alias("n"))
+    Every pair's distance is needed, so points are packed into blocks of about `block_rows`, every block meets every block (an equality
+    join on the block's number), and a task turns two blocks into sums by point and label; so what moves is one row per point, label and
+    pair of blocks."""
+    ready(points.sparkSession)
+    blocks = max(1, -(-points.count() // block_rows))
+    own = points.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("long").alias("l"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
+    packed = own.groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"), F.collect_list("l").alias("l"))
+    left = packed.select("k", "v", "l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    pairs = left.join(packed.select("b", F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("l").alias("l2")), "b").drop("b")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b, other = np.stack(r.v), np.stack(r.v2), np.asarray(r.l2)
+                d = np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
+                d[np.asarray(r.k)[:, None] == np.asarray(r.k2)[None, :]] = np.nan
+                names = np.unique(other)
+                for one in names:
+                    part = d[:, other == one]
+                    yield pd.DataFrame({"k": r.k, "l": r.l, "l2": one, "s": np.nansum(part, 1), "n": (~np.isnan(part)).sum(1)})
+
+    kind = points.schema[key].dataType.simpleString()
+    met = pairs.mapInPandas(sums, f"k {kind}, l long, l2 long, s double, n long").where("n > 0").groupBy("k", "l", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     mean = F.col("s") / F.col("n")
-    ab = sums.groupBy("k", "l").agg(F.coalesce(F.max(F.when(F.col("l") == F.col("l2"), mean)), F.lit(0.0)).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), mean)).alias("b"))
-    return ab.select(F.col("k").alias(key), F.col("l").alias(label), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")).alias("silhouette"))
+    ab = met.groupBy("k", "l").agg(F.coalesce(F.max(F.when(F.col("l") == F.col("l2"), mean)), F.lit(0.0)).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), mean)).alias("b"))
+    return ab.select(F.col("k").alias(key), F.col("l").cast(points.schema[label].dataType).alias(label), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")).alias("silhouette"))
 
 
 def choose_k(points: DataFrame, columns: list[str], most: int, seed: int = 1) -> tuple[int, DataFrame]:
