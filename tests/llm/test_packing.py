@@ -46,7 +46,7 @@ def test_bound_beats_the_sum():
     assert packing.lower_bound(np.array([11]), np.array([4]), 20) == 4
 
 
-def check(spark, rows, cap=64, part_rows=20):
+def check(spark, rows, cap=64, part_rows=100):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece0")
     out = packing.pack(packing.tokenise(docs, capacity=cap), cap, part_rows).collect()
     from tokenizers import Tokenizer
