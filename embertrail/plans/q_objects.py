@@ -173,7 +173,7 @@ def _spans(s, d):
 def _in_range(s, d):
     o = objs(s, d, False)
     spans = s.range(1, 8).select(F.col("id").alias("span_leg"), F.lit(1).alias("min_block"), (F.col("id") * 4 + 12).alias("max_block"))
-    return spatial.objects_in_range(o, F.broadcast(spans)).groupBy("span_leg").agg(F.count("*").alias("n"), F.min("object_id").alias("least"), F.max("object_id").alias("most"))
+    return spatial.objects_in_range(o, spans).groupBy("span_leg").agg(F.count("*").alias("n"), F.min("object_id").alias("least"), F.max("object_id").alias("most"))
 
 
 def _bars(s, d):
@@ -195,7 +195,7 @@ def _percentile(s, d):
     f = features(s, d).select("leg_id", "sum_hot", "feature_id")
     w = Window.partitionBy("leg_id").orderBy("sum_hot", "feature_id")
     n = f.groupBy("leg_id").agg(F.count("*").alias("n"))
-    r = f.withColumn("r", F.row_number().over(w) - 1).join(F.broadcast(n), "leg_id")
+    r = f.withColumn("r", F.row_number().over(w) - 1).join(n, "leg_id")
     return r.groupBy("leg_id").agg(F.max(F.when(F.col("r") == (F.col("n") * 0.02).cast("int"), F.col("sum_hot"))).alias("low"), F.max(F.when(F.col("r") == (F.col("n") * 0.98).cast("int"), F.col("sum_hot"))).alias("high"))
 
 

@@ -63,10 +63,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A logical table as a DataFrame."""
-    if name == "v_dem":  # built from a range: no join of a table with itself
-        side = spark.range(200)
-        cells = table(spark, sf_dir, "events").where("event_id < 200").select("event_id").distinct()
-        return cells.select(cells["event_id"].alias("n_cell")).join(side).selectExpr("n_cell", "id as e_cell", "5 + ((n_cell * 7 + id * 13) % 25) / 5e0 as elev_m")
+    if name == "v_dem":  # 200 cells for each row: no join of a table with itself
+        rows = table(spark, sf_dir, "events").where("event_id < 200").selectExpr("event_id as n_cell", "explode(sequence(0L, 199L)) as e_cell")
+        return rows.selectExpr("n_cell", "e_cell", "5 + ((n_cell * 7 + e_cell * 13) % 25) / 5e0 as elev_m")
     source = TABLES[name]
     return spark.sql(VIEWS[name].replace(f"from {source}", "from {source}"), source=table(spark, sf_dir, source))
 
