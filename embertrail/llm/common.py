@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8. bytes.split() splits on just the six ASCII white-space bytes."""
-    return text.encode().split() if text else []
+def spread(df: DataFrame) -> DataFrame:
+    """A table that arrives in fewer partitions than there are cores (one small file, say) is dealt out, so that work on whole texts runs
+    side by side. Larger tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 4) else df
 
 
 def shared_dir(spark: SparkSession) -> str:

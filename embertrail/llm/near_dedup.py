@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ready, table
+from .common import materialise, ready, spread, table
 from .components import components
 from .features import Cache
 
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ready, table
+from .common import materialise, ready, spread, table
 from .features import Cache
 
 CAPACITY, END = 4096, 1
@@ -186,4 +186,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(tokenise(table(spark, sf_dir, "documents"))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(tokenise(spread(table(spark, sf_dir, "documents")))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ready, table
+from .common import materialise, ready, spread, table
 from .features import Cache
 
 KINDS = ("email", "ip", "card", "phone")
@@ -270,4 +270,4 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
-    return find(table(spark, sf_dir, "documents"))
+    return find(spread(table(spark, sf_dir, "documents")))

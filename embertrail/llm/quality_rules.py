@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, ready, table
+from .common import bounded_sample, held_out, ready, spread, table
 from .gbt import Trees, fit
 from .stats import COUNTS, RATIOS, text_stats
 
@@ -69,5 +69,5 @@ def judge(docs: DataFrame, trees: Trees) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return judge(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialise, ready, table
+from .common import bounded_sample, held_out, materialise, ready, spread, table
 from .features import Cache, word_features
 
 #: The bounds of the training sample, and of the vocabulary.
@@ -140,7 +140,7 @@ def score_column(model: Model, text: Column) -> Column:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

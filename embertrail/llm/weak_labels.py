@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import ready, spread, table
 from .features import Cache
 from .stats import RATIOS, text_stats
 
@@ -156,4 +156,4 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def op2_weak_labels(spark, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"))
+    return classify(spread(table(spark, sf_dir, "documents")))
