@@ -24,7 +24,7 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1
 WEIGHTS = (3, 1, 2)
 SHARE, MOST_PASSES = 1.5, 2
 #: Rows of a bucket aimed at.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def position(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs (doc_id, text, source, ...) -> row (a struct of the keep columns, whatever their names), size, source_size, target, taken,
     passes (position, words of each copy), position of the first."""
-    base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col("source").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
     if "text" not in keep:  # small rows are kept, so that texts are read once; whole documents are read again instead
         base = materialise(base, "mixing")
@@ -71,16 +71,15 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     # buckets are ranges of the digest, so that bucket order is digest order
     bits = min(48, max(4, (n // BUCKET_ROWS).bit_length()))
     base = base.withColumn("_b", F.shiftright(F.conv(F.substring("_h", 1, 12), 16, 10).cast("long"), 48 - bits))
-    sums = base.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
-    sums = materialise(sums, "mixing-sums")
-    per_source = targets(sums.groupBy("source").agg(F.sum("_s").alias("source_size"))).withColumnRenamed("source", "_source")
-    before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("_source"), F.col("_b").alias("_bucket"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    starts = starts.join(per_source, starts["_source"].eqNullSafe(per_source["_source"])).select(starts["_source"], "_bucket", "_base", "source_size", "target", "rank")
-    inside = Window.partitionBy("source", "_b").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("_c", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # null-safe in both parts and still an equality join
-    out = placed.join(starts, (placed["source"].eqNullSafe(starts["_source"])) & (placed["_b"] == starts["_bucket"]))
+    # a null source is a key of its own: two plain columns, so that windows and joins have the same keys and share one shuffle
+    own = ["_src", "_null"]
+    sums = materialise(base.groupBy(*own, "_b").agg(F.sum("size").alias("_s")), "mixing-sums")
+    source = F.when(~F.col("_null"), F.col("_src"))
+    per_source = targets(sums.groupBy(*own).agg(F.sum("_s").alias("source_size")).withColumn("source", source)).select(*own, "source_size", "target", "rank")
+    before = Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*own, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base")).join(per_source, own)
+    inside = Window.partitionBy(*own, "_b").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = base.withColumn("_c", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [*own, "_b"])
     at = F.col("_base") + F.col("_c")
     limit = F.floor(F.col("target"))
     took = [F.greatest(F.least(limit - (at + F.lit(i) * F.col("source_size")), F.col("size")), F.lit(0)) for i in range(MOST_PASSES)]
