@@ -106,17 +106,25 @@ def bitmap(ids: DataFrame, column: str, slots: int) -> bytes:
     return bytes(out)
 
 
+def _slots(n: int) -> int:
+    """Bits for n ids: eight each, up to 16 MB."""
+    return 1 << min(27, max(16, (8 * n).bit_length()))
+
+
+def _marked(bits: bytes, slot: np.ndarray) -> np.ndarray:
+    wanted = np.frombuffer(bits, np.uint8)
+    return np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """node, s (binary): the full sets of the documents whose ids are listed. A bitmap keeps most others from being shuffled; a join then keeps the right ones."""
-    n = ids.count()
-    slots = 1 << min(27, max(16, (8 * n).bit_length()))
+    slots = _slots(ids.count())
     bits = bitmap(ids, "node", slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, cache = np.frombuffer(bits, np.uint8), word_hashes()
+        cache = word_hashes()
         for b in batches:
-            slot = b.column(2).to_numpy()
-            at = np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            at = _marked(bits, b.column(2).to_numpy())
             for lo in range(0, len(at), 256):
                 some = pa.array(at[lo : lo + 256])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array([shingles(t, cache).tobytes() for t in b.column(1).take(some).to_pylist()], pa.binary())], ["node", "s"])
@@ -126,6 +134,20 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(run, "node long, s binary").join(ids, "node", "left_semi"), "dedup-sets")
 
 
+def _near(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that pairs (a, b) speak of, and a few more: a bitmap keeps the others from being shuffled."""
+    ids = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "dedup-ids")
+    slots = _slots(ids.count())
+    bits = bitmap(ids, "node", slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = pa.array(_marked(bits, b.column(2).to_numpy()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["node", "s"])
+
+    return sets.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots))).mapInArrow(run, "node long, s binary")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough."""
 
@@ -140,6 +162,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
+    pairs = materialise(pairs, "dedup-pairs")
+    sets = _near(sets, pairs)
     b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     return b.join(sets.select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
