@@ -72,7 +72,7 @@ def _run_results(spark, d):
 def _grid(spark, d):
     o = ob.names(objs(spark, d)).where(F.col("significant") & F.col("size_class").isin("M", "L", "XL", "XXL") & (F.col("height_class") != "?"))
     g = annotations.annotate(o, view(spark, d, "v_category"))
-    return g.select("object_id", "name", "size_class", "height_class", F.col("first_block").alias("seen_from"), (F.col("last_real_block") - F.col("first_block")).alias("seen_for"), text.location(F.round("loc_n"), F.round("loc_e")).alias("location"),
+    return g.select("object_id", "name", "size_class", "height_class", F.col("first_block").alias("seen_from"), (F.col("last_real_block") - F.col("first_block")).alias("seen_for"), text.location(F.round(F.round("loc_n", 6)), F.round(F.round("loc_e", 6))).alias("location"),
                     F.round(F.col("loc_err") * 100, 2).alias("loc_err_cm"), (F.col("loc_err") <= CFG.good_location_err_m).alias("good_location"), F.coalesce("category", F.lit("")).alias("category"))
 
 
@@ -238,7 +238,7 @@ QUERIES = {
     "leg_height_rollup": (_leg("height_err"), _leg_sql("height_err")),
     "key_results_density": (lambda s, d: objs(s, d, False).groupBy("leg_id").agg(F.count_if("significant").alias("animals"), F.round(F.coalesce(F.try_divide(F.count_if("significant") * 1e6, F.sum("size_cm2")), F.lit(0.0)), 6).alias("density")),
         sql("select leg_id, count(case when significant then 1 end) as animals, round(coalesce(count(case when significant then 1 end) * 1e6 / nullif(sum(size_cm2), 0), 0), 6) as density from obj group by leg_id", "v_feature")),
-    "object_grid": (_grid, sql("""select object_id, name, size_class, height_class, first_block as seen_from, last_real_block - first_block as seen_for, cast(cast(round(loc_n) as bigint) as varchar) || ',' || cast(cast(round(loc_e) as bigint) as varchar) as location, round(loc_err * 100, 2) as loc_err_cm, loc_err <= 5 as good_location, coalesce(category, '') as category
+    "object_grid": (_grid, sql("""select object_id, name, size_class, height_class, first_block as seen_from, last_real_block - first_block as seen_for, cast(cast(round(round(loc_n, 6)) as bigint) as varchar) || ',' || cast(cast(round(round(loc_e, 6)) as bigint) as varchar) as location, round(loc_err * 100, 2) as loc_err_cm, loc_err <= 5 as good_location, coalesce(category, '') as category
   from named left join cat on cat.key = upper(trim(name)) where significant and size_class in ('M', 'L', 'XL', 'XXL') and height_class <> '?'""", "v_feature", "v_category", more=NAMED + ",\n" + CAT)),
     "object_names": (lambda s, d: ob.names(objs(s, d, False)).select("object_id", "name"), sql("select object_id, name from named", "v_feature", more=NAMED)),
     "annotation_summary": (lambda s, d: annotations.summary(view(s, d, "v_category")), sql("select case when include then category end as category, count(*) as n from v_category where trim(category) <> '' group by 1", "v_category", obj=False)),
