@@ -25,17 +25,19 @@ from .stats import RATIOS, text_stats
 
 SAMPLE, BITS = 6000, 14
 _AT = {name: i for i, name in enumerate(RATIOS)}
-#: labeller -> (statistic, bad above, good below); None never votes so.
+#: labeller -> (statistic, bad above, good below); None: it never votes so. A flaw's absence says nothing, so most only vote bad.
 LABELLERS = {
-    "symbols": ("symbols_per_word", 0.2, 0.02),
-    "repeats": ("repeat_share", 0.3, 0.05),
-    "capitals": ("upper_share", 0.4, 0.15),
-    "exclaims": ("bang_per_word", 0.2, 0.02),
-    "doubled_lines": ("dup_line_share", 0.25, 0.02),
-    "marks": ("mark_share", 0.15, 0.06),
+    "symbols": ("symbols_per_word", 0.2, None),
+    "repeats": ("repeat_share", 0.3, None),
+    "capitals": ("upper_share", 0.4, None),
+    "exclaims": ("bang_per_word", 0.2, None),
+    "doubled_lines": ("dup_line_share", 0.25, None),
+    "marks": ("mark_share", 0.15, None),
     "variety": ("unique_share", None, 0.9),
 }
-SHORT, LONG = 20, 60
+SHORT, LONG = 3, 60
+#: A vote for bad is taken to be at least so many times likelier on a bad document: flaws are rare in good ones, but each bad document has few.
+RATIO = 1000
 
 
 def votes(counts: tuple[int, ...], ratios: tuple[float, ...]) -> int:
@@ -47,13 +49,12 @@ def votes(counts: tuple[int, ...], ratios: tuple[float, ...]) -> int:
     return code * 3 + (1 if counts[0] < SHORT else 2 if counts[0] > LONG else 0)
 
 
-def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = 100, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray, float]:
     """EM on pattern counts: P(good | pattern), accuracies (labeller, class bad/good, vote nothing/bad/good), P(good)."""
     v = np.stack([codes // 3**i % 3 for i in range(labellers)][::-1], 1) if len(codes) else np.zeros((0, labellers), int)
     n = n.astype(float)
     bad, good = (v == 1).sum(1), (v == 2).sum(1)
-    p = (good + 1) / (good + bad + 2)  # start: the majority
-    p = np.where(bad >= 1, np.minimum(p, 0.5), p)
+    p = np.where(bad >= 1, 0.05, (good + 1) / (good + 2))  # start: a vote for bad counts
     table_, share = np.zeros((labellers, 2, 3)), 0.5
     for _ in range(steps):
         share = float(((p * n).sum() + 1) / (n.sum() + 2))
@@ -63,6 +64,7 @@ def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = 10
                 table_[j, 1, vote] = (p * n)[at].sum() + 1
                 table_[j, 0, vote] = ((1 - p) * n)[at].sum() + 1
         table_ /= table_.sum(2, keepdims=True)
+        table_[:, 1, 1] = np.minimum(table_[:, 1, 1], table_[:, 0, 1] / ratio)
         log = [np.log(c) + sum(np.log(table_[j, k, v[:, j]]) for j in range(labellers)) for k, c in ((0, 1 - share), (1, share))]
         p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
     return p, table_, share
