@@ -65,7 +65,7 @@ def word_ids(path: str) -> Cache:
                 return b"".join([pieces[p] for p in _PIECES.findall(text.lower())])
             return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _WORKER[path] = Cache(make, 400_000)
+        _WORKER[path] = Cache(make, 300_000)
     return _WORKER[path]
 
 
