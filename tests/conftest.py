@@ -2,7 +2,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("repeatable", derandomize=True)
+settings.load_profile("repeatable")
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 SF = "/root/testdata/sf0.001"
