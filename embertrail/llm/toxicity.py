@@ -2,7 +2,9 @@
 
 Positives are texts confirmed toxic, the rest of the corpus is unlabelled. A numpy linear classifier on lexical features is trained with
 the class-prior-corrected risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  and logistic loss; where the
-bracket turns negative, its gradient is turned round, as in the published algorithm. Labels of held-out rows are never read.
+bracket turns negative, its gradient is turned round, as in the published algorithm. Labels of held-out rows are never read. A feature's
+value is the log of its count over the root of the text's number of distinct words, so words that are only more frequent in toxic texts
+count too, and long texts do not turn toxic by length.
 
 Training gathers a bounded sample (at most about POSITIVES and UNLABELLED texts): feature counts are summed in Spark, the features that
 stand out among positives become the vocabulary, and only their indices come to the driver. Scoring is one pass over whole texts.
@@ -13,6 +15,7 @@ not used; a null id is held out; repeated rows score alike; an empty table gives
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +29,10 @@ from .features import Cache, word_features
 
 #: The bounds of the training sample, and of the vocabulary.
 POSITIVES, UNLABELLED, VOCABULARY = 4000, 12_000, 8192
-#: A feature must be in so many positives, stand out by so many standard errors, and say toxic with this estimated precision.
-LEAST_POSITIVES, LEAST_Z, LEAST_PRECISION = 3, 4.0, 0.7
+#: A feature must be in so many positives and stand out by so many standard errors; the weights decide on the rest.
+LEAST_POSITIVES, LEAST_Z = 3, 2.0
+#: The scale of feature values, which are small.
+SCALE = 5.0
 
 
 class Model:
@@ -41,31 +46,40 @@ class Model:
         cache, weights, bias = self.indices(), self.weights, self.bias
 
         def score(raw: bytes | None) -> float:
-            found: set[int] = set()
-            for w in set(raw.split()) if raw else ():
-                if at := cache[w]:
-                    found.update(at)
-            g = bias + (float(weights[sorted(found)].sum()) if found else 0.0)
+            at, x = vector(raw, cache)
+            g = bias + float(weights[at] @ x)
             return float(1 / (1 + np.exp(-min(40.0, max(-40.0, g)))))
 
         return score
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk. rows: the feature indices of each text."""
+def vector(raw: bytes | None, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
+    """The feature indices of a text, in order, and their values."""
+    words = Counter(raw.split()) if raw else {}
+    found: dict[int, int] = {}
+    for w, n in words.items():
+        for i in cache[w]:
+            found[i] = found.get(i, 0) + n
+    at = sorted(found)
+    return np.array(at, np.int32), np.log1p(np.array([found[i] for i in at], np.float32)) * np.float32(SCALE / max(1, len(words)) ** 0.5)
+
+
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, values: list[np.ndarray] | None = None) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk. rows: the feature indices of each text; values: the features' values, else 1."""
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate([*rows, np.array([], np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
+    x = np.ones(len(flat)) if values is None else np.concatenate([*values, np.zeros(0)])
     share_p, share_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     theta[d] = -1.0
     for step in range(1, steps + 1):
-        g = np.bincount(owner, theta[flat], len(rows)) + theta[d]
+        g = np.bincount(owner, theta[flat] * x, len(rows)) + theta[d]
         s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
         minus = ((share_u - prior * share_p) * np.logaddexp(0, g)).sum()
         d_plus, d_minus = -prior * share_p * (1 - s), (share_u - prior * share_p) * s
         pull = d_plus + d_minus if minus >= 0 else -d_minus
-        grad = np.concatenate([np.bincount(flat, pull[owner], d), [pull.sum()]])
+        grad = np.concatenate([np.bincount(flat, pull[owner] * x, d), [pull.sum()]])
         grad[:d] += decay * theta[:d]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -111,20 +125,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + F.lit(0.5)) / F.lit(float(max(1, n_u)))
     z = (rate_p - rate_u) / F.sqrt(rate_p / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
     counts = sample.mapInArrow(count, "f binary, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.lit(prior) * rate_p >= F.lit(LEAST_PRECISION) * rate_u)).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
+    chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
     vocabulary = {bytes(r["f"]): i for i, r in enumerate(chosen.select("f").collect())}
     model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = model.indices()
         for b in batches:
-            rows = [np.array(sorted({i for w in (set(t.split()) if t else ()) for i in cache[w]}), np.int32).tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), b.column(1)], ["x", "positive"])
-
-    rows = sample.mapInArrow(index, "x binary, positive boolean").toArrow()
-    pairs = sorted(zip(rows.column(1).to_pylist(), rows.column(0).to_pylist(), strict=True))  # rows arrive in any order
-    weights, bias = fit_nnpu([np.frombuffer(x, np.int32) for _, x in pairs], np.array([p for p, _ in pairs], bool), len(vocabulary), prior)
-    return Model(vocabulary, weights, bias)
+            rows = [vector(t, cache) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes() for at, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), b.column(1)], ["at", "x", "positive"])
+
+    rows = sample.mapInArrow(index, "at binary, x binary, positive boolean").toArrow()
+    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("positive", "at", "x")), strict=True))  # rows arrive in any order
+    weights, bias = fit_nnpu([np.frombuffer(at, np.int32) for _, at, _ in got], np.array([p for p, _, _ in got], bool), len(vocabulary), prior, values=[np.frombuffer(x, np.float32) for _, _, x in got])
+    used = [f for f, i in vocabulary.items() if weights[i] > 0]
+    return Model({f: i for i, f in enumerate(used)}, weights[[vocabulary[f] for f in used]], bias)
 
 
 def score_column(model: Model, text: Column) -> Column:

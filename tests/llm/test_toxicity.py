@@ -37,10 +37,24 @@ def test_held_out_accuracy(spark):
     j = toxicity_rows.where("held_out").join(table(spark, sf, "labels"), "doc_id").select("toxic", "predicted").collect()
     said = [r for r in j if r["predicted"] == 1]
     assert sum(r["toxic"] for r in said) / len(said) > 0.85
-    assert sum(r["toxic"] for r in said) / sum(r["toxic"] for r in j) > 0.6  # a third of the positives carry no toxic word here
+    assert sum(r["toxic"] for r in said) / sum(r["toxic"] for r in j) > 0.6
     assert out.count() == table(spark, sf, "documents").count()
 
 
+def test_every_language_is_learnt(spark):
+    """In German and Spanish no single feature is precise; frequencies of several are."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.train(docs, labels)
+    held = docs.where(toxicity.held_out(F.col("doc_id"))).join(labels.where("toxic is not null"), "doc_id")
+    rows = held.select("lang", "toxic", (toxicity.score_column(model, F.col("text")) >= 0.5).alias("said")).collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in rows if r["lang"] == lang]
+        found, all_, wrong, clean = (sum(r["toxic"] == t and (r["said"] or not s) for r in own) for t, s in ((1, True), (1, False), (0, True), (0, False)))
+        print(lang, f"{found} of {all_} toxic found, {wrong} false alarms among {clean}")
+        assert found >= 0.8 * all_ and wrong <= 0.03 * clean
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "a calm text") for i in range(1, 800)] + [(900, None), (901, ""), (None, "idiot"), (3, "you idiot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(1, 700)] + [(700, None)], "doc_id long, toxic int")
