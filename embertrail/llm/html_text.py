@@ -2,8 +2,8 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path (tags with their classes). For each path, text length and punctuation per
 node are aggregated, both are smoothed over neighbouring paths in page order with a Gaussian, and fused by their product; paths at or
-above a share of the fused spread are content paths. The content root is the deepest container that holds nearly all the weight of the
-content paths. What the root holds is the main text, but for parts marked as menus, notices, adverts, forms, comments and so on, and
+above a share of the fused spread are content paths. The content root is an <article> or <main> that holds nearly all the weight of the content
+paths, else the deepest container that holds all their weight and every heading outside marked parts. What the root holds is the main text, but for parts marked as menus, notices, adverts, forms, comments and so on, and
 paths of mostly link text. So short paragraphs and headings of the article stay.
 
 Blocks: block elements part texts, inline elements do not, <br> is white space. Character references are decoded, white space (any
@@ -174,14 +174,21 @@ def extract(page: str | None) -> str:
     for n in reversed(nodes[1:]):
         n.up.weight += n.weight
         n.up.heads += n.heads
+    whole = set()  # what leads to an article that nearly all is in
+    for n in nodes:
+        if n.tag in ("article", "main") and not n.shut and n.weight >= NEARLY * root.weight:
+            x = n
+            while x is not None and x not in whole:
+                whole.add(x)
+                x = x.up
     if root.weight == 0:  # nothing but marked parts
         return ""
     top = root
     while top.tag not in ("article", "main"):
         best = max((k for k in top.kids if k.tag in CONTAINER or k.block is not k or k.tag in ("blockquote", "dd", "li")), key=lambda k: k.weight, default=None)
-        if best is None or best.weight < NEARLY * root.weight or best.shut:
+        if best is None or best.shut or (best.weight < top.weight and best not in whole):
             break
-        if top.tag not in ("", "html", "body") and best.heads < top.heads and best.tag not in ("article", "main"):
+        if best.heads < top.heads and best.tag not in ("article", "main") and (best not in whole or top.tag not in ("", "html", "body")):
             break
         top = best
     top.kept = True

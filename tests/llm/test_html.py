@@ -22,6 +22,17 @@ def test_templates(page):
     assert extract(page) == SAID
 
 
+@pytest.mark.parametrize("before,after", [
+    ("<div>", "</div><div><h2>More</h2><p>A second part, with a sentence. It ends here.</p></div>"),
+    ("<div class=lead><p>A short lead, before the story.</p></div><div>", "</div>"),
+    ("<div id=page><div class=a>", "</div><div class=b><p>A part without a heading, but with text.</p></div></div>"),
+    ("<h1>A title</h1><div>", "</div>"),
+])
+def test_parts_beside_the_largest_stay(before, after):
+    parts = [" ".join(re.sub(r"<[^>]*>", " ", x).split()) for x in re.split(r"</(?:p|h1|h2)>", before + ART * 3 + after)]
+    assert [html.unescape(x).replace(" , ", ", ") for x in parts if x] == extract(f"<body>{before}{ART * 3}{after}</body>").split("\n")
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<p>one<p>two<br>three", "one\ntwo three"), ("<script>x</script>", ""), ("<p>a\n  b\t<b>c</b>d</p>", "a b cd"), ("<<<>>", "<<<>>")])
 def test_odd_pages(page, text):
     assert extract(page) == text
