@@ -4,7 +4,8 @@ A page's text nodes are grouped by their root-to-leaf tag path (tags with their
 node are aggregated, both are smoothed over neighbouring paths in page order with a Gaussian, and fused by their product; paths at or
 above a share of the fused spread are content paths. The content root is an <article> or <main> that holds nearly all the weight of the content
 paths, else the deepest container that holds all their weight and every heading outside marked parts. What the root holds is the main text, but for parts marked as menus, notices, adverts, forms, comments and so on, and
-paths of mostly link text. So short paragraphs and headings of the article stay.
+paths of mostly link text. A name, a role or <form> marks nothing that holds most of the content weight, <main> or the page's only
+<article>: that is a wrapper of the page. Smaller parts with such names go, whatever their weight. So short paragraphs and headings of the article stay.
 
 Blocks: block elements part texts, inline elements do not, <br> is white space. Character references are decoded, white space (any
 Unicode) becomes one space, blocks are trimmed, empty ones go, the rest is joined by one newline.
@@ -44,33 +45,56 @@ WORDS = frozenset("ad ads adv nav navbar side aside alert pager legal login tags
 STARTS = ("advert", "sponsor", "promo", "banner", "sidebar", "menu", "header", "footer", "masthead", "navig", "breadcrumb", "pagina", "comment", "disqus", "cookie", "consent", "gdpr", "notice", "notif", "newsletter", "subscri", "signup", "share", "sharing", "social", "related", "recommend", "widget", "disclaimer", "outbrain", "taboola", "toolbar", "skip", "hidden")
 _PUNCT = frozenset(".,;:!?\"'()…—–،。，、！？：；«»„“”")
 SIGMA, SPREAD, NEARLY, LINKS = 1.0, 0.2, 0.8, 0.6
+#: How an element is marked: not, by what may also name a wrapper of the page, or for sure.
+CLEAR, NAMED, SURE = 0, 1, 2
 #: Elements nested deeper stand beside each other, as in browsers; their text stays.
 DEEPEST = 512
 
 
 class _Node:
-    """An element. path: a number for its root-to-leaf tag path; shut: it or an element that holds it is marked as not the article's."""
+    """An element. path: a number for its root-to-leaf tag path; apart: how it is marked as not the article's; shut: the strongest mark on it or an element that holds it."""
 
-    __slots__ = ("tag", "up", "path", "apart", "shut", "link", "weight", "kids", "heads", "block", "kept", "depth")
+    __slots__ = ("tag", "up", "path", "apart", "shut", "link", "weight", "held", "kids", "heads", "block", "kept", "depth")
 
-    def __init__(self, tag: str, up: _Node | None, path: int, apart: bool):
+    def __init__(self, tag: str, up: _Node | None, path: int, apart: int):
         self.tag, self.up, self.path = tag, up, path
         # html, body, main and article are never marked by a name
-        self.apart = apart and tag not in ("html", "body", "main", "article")
-        self.shut = self.apart or bool(up and up.shut)
+        self.apart = CLEAR if tag in ("html", "body", "main", "article") else apart
+        self.shut = max(self.apart, up.shut) if up else self.apart
         self.link = tag == "a" or bool(up and up.link)
         self.depth = up.depth + 1 if up else 0
-        self.weight, self.kids, self.heads, self.kept = 0, [], 0, False
+        self.held, self.weight, self.kids, self.heads, self.kept = 0, 0, [], 0, False
         self.block = self if tag in BLOCK or up is None else up.block
 
 
-def _marked(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in APART or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+def _marked(tag: str, attrs: dict[str, str]) -> int:
+    if (tag in APART and tag != "form") or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
+        return SURE
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+        return SURE
+    if tag == "form" or attrs.get("role", "").lower() in ROLES:
+        return NAMED
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    return any(w in WORDS or w.startswith(STARTS) for w in re.split(r"[^a-z0-9]+", named) if w)
+    return NAMED if any(w in WORDS or w.startswith(STARTS) for w in re.split(r"[^a-z0-9]+", named) if w) else CLEAR
+
+
+def _clear_wrappers(nodes: list[_Node], own: list[tuple[_Node, str]], content: set[int]) -> None:
+    """Unmarks what is only marked by name and holds most of the content weight, <main> or the page's only <article>."""
+    for n, t in own:
+        if n.shut < SURE and n.path in content:
+            n.held += len(t.strip())
+    for n in reversed(nodes[1:]):
+        n.up.held += n.held
+    articles = [n for n in nodes if n.tag == "article"]
+    around = set()
+    for x in [n for n in nodes if n.tag == "main"] + articles * (len(articles) == 1):
+        while x is not None and x not in around:
+            around.add(x)
+            x = x.up
+    for n in nodes[1:]:
+        if n.apart == NAMED and (n in around or 2 * n.held > nodes[0].held):
+            n.apart = CLEAR
+        n.shut = max(n.apart, n.up.shut)
 
 
 def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
@@ -79,7 +103,7 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     nodes = [root]
     paths: dict[tuple[int, str], int] = {}
     texts: list[tuple[_Node, str]] = []
-    memo: dict[tuple[str, str], tuple[str, bool]] = {}
+    memo: dict[tuple[str, str], tuple[str, int]] = {}
     end = len(page)
     pos = 0
     while pos < end and (m := _TOKEN.match(page, pos)):
@@ -167,6 +191,7 @@ def extract(page: str | None) -> str:
     least = SPREAD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     content = {p for p, f in zip(paths, fused, strict=True) if f >= least and f > 0}
     linked = {p for p, r in paths.items() if r[3] > LINKS * r[1]}
+    _clear_wrappers(nodes, own, content)
     for n, t in own:
         if not n.shut:
             n.weight += len(t.strip()) if n.path in content else 0

@@ -33,6 +33,13 @@ def test_parts_beside_the_largest_stay(before, after):
     assert [html.unescape(x).replace(" , ", ", ") for x in parts if x] == extract(f"<body>{before}{ART * 3}{after}</body>").split("\n")
 
 
+@pytest.mark.parametrize("wrapper", ["div class='content-with-sidebar'", "div id='page' class='no-sidebar'", "div class='header-fixed'", "form id='aspnetForm'", "div role='form'"])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_names_of_wrappers_lose_nothing(wrapper, inner):
+    side = "<div class=sidebar><p>Read this too.</p></div>"
+    assert extract(f"<body><{wrapper}>{inner.format(ART)}{side}</{wrapper.split()[0]}><div class=footer>By us.</div></body>") == SAID
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain &lt;text", "plain <text"), ("<p>one<p>two<br>three", "one\ntwo three"), ("<script>x</script>", ""), ("<p>a\n  b\t<b>c</b>d</p>", "a b cd"), ("<<<>>", "<<<>>")])
 def test_odd_pages(page, text):
     assert extract(page) == text
