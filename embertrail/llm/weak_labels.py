@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. Their votes are counted by pattern over the whole corpus
 (at most 3^labellers patterns, whatever the corpus size), and expectation-maximisation on the pattern counts estimates how often each
-labeller is right about good and about bad documents. The posterior of a pattern is the label of its documents. A hashed linear scorer
+labeller is right about good and about bad documents, but that bad votes are precise is imposed (RATIO), not estimated. The posterior of a pattern is the label of its documents. A hashed linear scorer
 is then trained on at most about `sample` documents with these soft labels and scores every whole text.
 
 Defined cases: null and empty texts get the votes of an empty text and the scorer's intercept; repeated rows score alike; null ids stay;
