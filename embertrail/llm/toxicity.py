@@ -6,8 +6,9 @@ bracket turns negative, its gradient is turned round, as in the published algori
 value is the log of its count over the root of the text's number of distinct words, so words that are only more frequent in toxic texts
 count too, and long texts do not turn toxic by length.
 
-Training gathers a bounded sample (at most about POSITIVES and UNLABELLED texts): feature counts are summed in Spark, the features that
-stand out among positives become the vocabulary, and only their indices come to the driver. Scoring is one pass over whole texts.
+Features are counted in Spark over all confirmed positives and all documents that are not held out; those that stand out among positives
+become the vocabulary. The fit reads a bounded sample (at most about POSITIVES and UNLABELLED texts), of which only the features' indices
+and values come to the driver. Scoring is one pass over whole texts.
 
 Defined cases: null and empty texts have no features and get the intercept's score; with no positives every score is 0; null labels are
 not used; a null id is held out; repeated rows score alike; an empty table gives an empty result.
@@ -94,13 +95,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if not n_toxic:
         return Model({}, np.zeros(0), -40.0)
     prior = min(0.9, n_toxic / n_known)
-    confirmed = bounded_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES)
+    toxic = known.where("toxic = 1").select("doc_id")
+    confirmed = bounded_sample(toxic, "doc_id", POSITIVES)
     n = docs.count()
     some = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     unlabelled = some.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(1, n))))
     sample = some.join(F.broadcast(confirmed), "doc_id").select("text", F.lit(True).alias("positive")).unionAll(unlabelled.select("text", F.lit(False).alias("positive")))
     sample = materialise(sample.select(F.col("text").cast("binary").alias("text"), "positive"), "toxicity-sample")
 
+    everything = some.join(toxic.withColumn("positive", F.lit(True)), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("positive", F.lit(False)).alias("positive"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: Cache = Cache(word_features, 50_000)
         seen: dict[bytes, list[int]] = {}
@@ -116,15 +120,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 for w in set(text.split()) if text else ():
                     own.update(cache[w])
                 for f in own:
-                    seen.setdefault(f, [0, 0])[0 if positive else 1] += 1
+                    n = seen.setdefault(f, [0, 0])
+                    n[0] += positive
+                    n[1] += 1  # positives are documents, too
                 if len(seen) > 100_000:  # part of the counts; Spark adds them up
                     yield part()
         yield part()
 
-    n_p, n_u = (sample.where(F.col("positive") == x).count() for x in (True, False))
+    n_p, n_u = everything.agg(F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0)), F.count("*")).first()
     rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + F.lit(0.5)) / F.lit(float(max(1, n_u)))
     z = (rate_p - rate_u) / F.sqrt(rate_p / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
-    counts = sample.mapInArrow(count, "f binary, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = everything.mapInArrow(count, "f binary, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
     vocabulary = {bytes(r["f"]): i for i, r in enumerate(chosen.select("f").collect())}
     model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)

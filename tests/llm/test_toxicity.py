@@ -55,6 +55,18 @@ def test_every_language_is_learnt(spark):
         assert found >= 0.8 * all_ and wrong <= 0.03 * clean
 
 
+def test_features_are_counted_over_all_documents(spark, monkeypatch):
+    """A word in few positives, fewer than the sample has, is still learnt."""
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 100 < 2 else 'idiot'} you" if i % 2 == 0 else "a calm text") for i in range(1, 3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(1, 3000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "POSITIVES", 40)
+    monkeypatch.setattr(toxicity, "LEAST_POSITIVES", 10)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda rows, positive, d, prior, **k: (seen.append(d), (np.ones(d), 0.0))[1])
+    model = toxicity.train(docs, labels)
+    assert b"vile" in model.vocabulary and seen == [len(model.vocabulary)]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "a calm text") for i in range(1, 800)] + [(900, None), (901, ""), (None, "idiot"), (3, "you idiot")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i in range(1, 700)] + [(700, None)], "doc_id long, toxic int")
