@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+_RUNS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +41,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _sweep(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone by now
+        _delete(spark, folder)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it again: lineage is cut and survives lost executors, and the planner sees real sizes."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/embertrail/{what}-{uuid.uuid4().hex}"
+    """Writes df to the shared folder as Parquet and reads it again: lineage is cut and survives lost executors, and the planner sees real
+    sizes. All folders of a run lie under its application id and go when the driver ends; `release` drops one earlier."""
+    spark = df.sparkSession
+    run = f"{shared_dir(spark).rstrip('/')}/embertrail/{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        atexit.register(_sweep, spark, run)
+    path = f"{run}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what `materialise` wrote for tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            _delete(df.sparkSession, path)
 
 
 def ready(spark: SparkSession) -> None:
@@ -60,9 +88,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def bounded_sample(ids: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the key: reruns agree, and the choice is spread over all the data."""
-    n = ids.count()
+def bounded_keys(keys: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows at most of a table with one row a key, chosen by a hash of the key: reruns agree, and the choice is spread over all the data."""
+    n = keys.count()
     if n <= most:
-        return ids
-    return ids.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+        return keys
+    return keys.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+def sampled(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """About `most` of the different rows at most, with `repeats`: how often each occurs. Rows are chosen by a hash of the given columns and
+    equal ones are one, so neither null ids nor an id on many rows can pass the bound; reruns agree."""
+    keyed = rows.select(*columns, F.xxhash64(*columns, F.lit("sample")).alias("_k"))
+    n = keyed.agg(F.approx_count_distinct("_k", 0.02)).first()[0]
+    share = min(1.0, most / max(1, n))
+    some = keyed if share == 1.0 else keyed.where(F.pmod("_k", F.lit(1 << 30)) < int((1 << 30) * share))
+    return some.groupBy("_k").agg(*[F.any_value(c).alias(c) for c in columns], F.count("*").alias("repeats")).drop("_k")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ready
+from .common import materialise, ready, release
 
 #: Edges that one task takes: 16 bytes each, and a dictionary of their nodes.
 LOCAL = 500_000
@@ -36,7 +36,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x != y:
                 root[max(x, y)] = min(x, y)
     nodes = list(root)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array([find(n) for n in nodes], np.int64))], ["a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array([find(n) for n in nodes], np.int64))], ["node", "component"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -65,12 +65,18 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")), "edges")
     n = now.count()
     if n <= local:
-        return materialise(now.coalesce(1).mapInArrow(_contract, "a long, b long"), "components").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    now = materialise(now.mapInArrow(_contract, "a long, b long").where("a <> b").distinct(), "edges")
+        out = materialise(now.coalesce(1).mapInArrow(_contract, "node long, component long"), "components")
+        release(now)
+        return out
+    now, before = materialise(now.mapInArrow(_contract, "node long, component long").where("node <> component").toDF("a", "b").distinct(), "edges"), now
+    release(before)
     state = _state(now)
     while state[0]:
-        now = materialise(_small_star(_large_star(now)), "edges")
+        now, before = materialise(_small_star(_large_star(now)), "edges"), now
+        release(before)
         if (new := _state(now)) == state:
             break
         state = new
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b"), F.col("b")).distinct())
+    out = materialise(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b"), F.col("b")).distinct()), "components")
+    release(now)
+    return out

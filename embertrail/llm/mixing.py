@@ -25,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST_PASSES = 1.5, 2
 #: Rows of a bucket aimed at.
 BUCKET_ROWS = 512
+#: `arrange` knows each source's words by ranges of the digest, this many for all sources together (and one a source at least).
+RANGES = 1 << 16
 
 
 def position(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
@@ -64,7 +66,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs (doc_id, text, source, ...) -> row (a struct of the keep columns, whatever their names), size, source_size, target, taken,
     passes (position, words of each copy), position of the first."""
     base = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"))
+                       F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_h"), F.xxhash64("text").alias("_t"))
     if "text" not in keep:  # small rows are kept, so that texts are read once; whole documents are read again instead
         base = materialise(base, "mixing")
     n = docs.count()
@@ -78,7 +80,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     per_source = targets(sums.groupBy(*own).agg(F.sum("_s").alias("source_size")).withColumn("source", source)).select(*own, "source_size", "target", "rank")
     before = Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*own, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base")).join(per_source, own)
-    inside = Window.partitionBy(*own, "_b").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*own, "_b").orderBy("_h", "size", "_t").rowsBetween(Window.unboundedPreceding, -1)
     out = base.withColumn("_c", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [*own, "_b"])
     at = F.col("_base") + F.col("_c")
     limit = F.floor(F.col("target"))
@@ -94,6 +96,49 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                       F.array(*[F.struct(w.alias("position"), t.alias("words")) for w, t in zip(when, took, strict=True)]).alias("passes"))
 
 
+def _spot() -> Column:
+    """A document's fixed pseudo-random place in its source, as 48 bits: by its id, then its text, so that only equal rows tie."""
+    digest = F.md5(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha1(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
+def arrange(docs: DataFrame, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
+    """docs (doc_id, text, source, ...) -> the same columns, each document as often as the mix takes it, range-sorted by position.
+
+    The same curriculum as `mix` for whole documents. One pass over the texts counts words by source and range of the digest (at most
+    RANGES rows, or one a source). The cumulative demand is exact at the ends of a range and goes straight between them, so a document's
+    start follows from its own digest: the texts take no part in a window or a sized join, and move once, copies and all, straight to
+    their range of positions. A copy is taken if it starts before its source's target; documents without words are not taken."""
+    own = ["_src", "_null"]
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), F.coalesce("source", F.lit("")).alias("_src"), F.col("source").isNull().alias("_null"), _spot().alias("_spot"))
+    size = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long")
+    finest = 12  # bits of the ranges as they are counted first
+    sums = materialise(keyed.groupBy(*own, F.shiftright("_spot", 48 - finest).alias("_b")).agg(F.sum(size).alias("_s")), "arrange-sums")
+    per_source = targets(sums.groupBy(*own).agg(F.sum("_s").alias("source_size")).withColumn("source", F.when(~F.col("_null"), F.col("_src"))), share=share, most=most)
+    per_source = materialise(per_source.select(*own, "source_size", "target", "rank"), "arrange-sources")
+    bits = min(finest, max(0, (RANGES // max(1, per_source.count())).bit_length() - 1))
+    ranges = sums.groupBy(*own, F.shiftright("_b", finest - bits).alias("_b")).agg(F.sum("_s").alias("_s"))
+    before = Window.partitionBy(*own).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).join(per_source, own)
+    ranges = materialise(ranges, "arrange-ranges")
+    if ranges.count() <= RANGES:  # bounded, so every task may have them; many more sources meet their documents in a join
+        ranges = F.broadcast(ranges)
+    width = float(1 << (48 - bits))
+    held = keyed.where(F.col("_text").rlike(WORD)).drop("_text").withColumn("_b", F.shiftright("_spot", 48 - bits)).join(ranges, [*own, "_b"])
+    within = F.col("_spot").bitwiseAND(F.lit((1 << (48 - bits)) - 1)).cast("double") / F.lit(width)
+    start = F.col("_base").cast("double") + within * F.col("_s").cast("double")
+    begun = [start + F.lit(float(i)) * F.col("source_size").cast("double") for i in range(most)]
+    when = []
+    for b in begun:
+        done = F.least(b / F.col("target"), F.lit(1.0))
+        p = position(done, SCHEDULES[0])
+        for r, s in enumerate(SCHEDULES[1:], 1):
+            p = F.when(F.col("rank") % len(SCHEDULES) == r, position(done, s)).otherwise(p)
+        when.append(F.when(b < F.col("target"), p))
+    places = F.array_compact(F.array(*when))
+    return held.select("_row", F.explode(places).alias("_at"), "_spot").orderBy("_at", "_spot").select("_row.*")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -11,8 +11,9 @@ Candidates never come out as all pairs of a bucket:
 2. each bucket ties its members to one pivot. A node first checks the pivot it shares most buckets with, on the full sets; pivots that
    are then still in other components are all checked;
 3. where a bucket still holds several components, its nodes first check a few other pivots;
-4. exact rest: what is still mixed go through an exact prefix-filter join (two sets at 0.75 share
-   one of their rarest quarter of shingles), checking pairs in different components only. No cap on buckets or partners.
+4. exact rest: every node of a bucket that is still mixed goes through an exact prefix-filter join (two sets at 0.75 share one of their
+   rarest quarter of shingles), checking pairs in different components only. No cap on buckets or partners. So a link is lost only where
+   its documents share no table; `exact=True` sends all nodes through the join and loses none.
 
 Links within a component that are not needed to tie it together are not listed; the result is the component of every document.
 
@@ -28,17 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ready, spread, table
+from .common import materialise, ready, release, spread, table
 from .components import components
 from .features import Cache
 
 WORDS, PERCENT = 5, 75
 TABLES, ROWS = 12, 2
-#: Tables that two linked documents share at least: at a similarity of 0.75 fewer come about once in 25,000 pairs, and less often above.
-SHARED = 4
 #: Rounds with other pivots, and pivots a node checks in each. They save work; what they miss the exact rest finds.
 PIVOTS, TRIES = 2, 3
 _RNG = np.random.default_rng(7)
@@ -96,18 +95,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>")
 
 
-def bitmap(ids: DataFrame, column: str, slots: int) -> bytes:
-    """A bitmap of `slots` bits of the hashed ids, put together by Spark in rows of 4 KB."""
-    slot = F.pmod(F.xxhash64(column), F.lit(slots)) + 1  # Spark's bitmaps count from 1
-    rows = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+def bitmap(ids: DataFrame, slot: Column, slots: int) -> bytes:
+    """A bitmap of the slots that rows have, put together by Spark in rows of 4 KB."""
+    at = slot + 1  # Spark's bitmaps count from 1
+    rows = ids.select(at.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     out = bytearray((slots >> 15) + 1 << 12)
     for r in rows:
         out[(r["bucket"] - 1) * 4096 : (r["bucket"] - 1) * 4096 + len(r["bits"])] = r["bits"]
     return bytes(out)
 
 
+def _slot(column: str, slots: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(slots))
+
+
 def _slots(n: int) -> int:
-    """Bits for n ids: eight each, up to 16 MB."""
+    """Bits for n ids: eight each, up to 16 MB. A fuller bitmap lets more rows pass, which later joins drop; none is lost."""
     return 1 << min(27, max(16, (8 * n).bit_length()))
 
 
@@ -116,10 +119,15 @@ def _marked(bits: bytes, slot: np.ndarray) -> np.ndarray:
     return np.flatnonzero(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
 
 
+def _rough(s: np.ndarray) -> np.ndarray:
+    """16 bits of each digest, sorted: a quarter of the set's bytes."""
+    return np.sort((s >> np.uint64(48)).astype("<u2"))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, s (binary): the full sets of the documents whose ids are listed. A bitmap keeps most others from being shuffled; a join then keeps the right ones."""
+    """node, s, rough (binary): the full sets of the documents whose ids are listed, and of a few more that the bitmap lets pass."""
     slots = _slots(ids.count())
-    bits = bitmap(ids, "node", slots)
+    bits = bitmap(ids, _slot("node", slots), slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
@@ -127,45 +135,61 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = _marked(bits, b.column(2).to_numpy())
             for lo in range(0, len(at), 256):
                 some = pa.array(at[lo : lo + 256])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array([shingles(t, cache).tobytes() for t in b.column(1).take(some).to_pylist()], pa.binary())], ["node", "s"])
+                sets = [shingles(t, cache) for t in b.column(1).take(some).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_rough(s).tobytes() for s in sets], pa.binary())], ["node", "s", "rough"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary"))
-    rows = rows.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots)))
-    return materialise(rows.mapInArrow(run, "node long, s binary").join(ids, "node", "left_semi"), "dedup-sets")
+    rows = rows.withColumn("slot", _slot("node", slots))
+    return materialise(rows.mapInArrow(run, "node long, s binary, rough binary"), "dedup-sets")
 
 
-def _near(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that pairs (a, b) speak of, and a few more: a bitmap keeps the others from being shuffled."""
-    ids = materialise(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct(), "dedup-ids")
+def _near(sets: DataFrame, ids: DataFrame, column: str, what: str) -> DataFrame:
+    """The sets of the ids, and a few more: a bitmap keeps the others from being shuffled."""
+    ids = ids.select(column).distinct()
     slots = _slots(ids.count())
-    bits = bitmap(ids, "node", slots)
+    bits = bitmap(ids, _slot(column, slots), slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = pa.array(_marked(bits, b.column(2).to_numpy()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["node", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], [column, "x"])
 
-    return sets.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(slots))).mapInArrow(run, "node long, s binary")
+    return sets.select("node", what, _slot("node", slots).alias("slot")).mapInArrow(run, f"{column} long, x binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+def _alike(s: np.ndarray, t: np.ndarray) -> bool:
+    """Sets without repeats that are similar enough."""
+    both = len(s) + len(t)
+    same = 0 if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)) else both - len(np.union1d(s, t))
+    return 100 * same >= PERCENT * (both - same) > 0
 
+
+def _told(raw: bytes) -> np.ndarray:
+    """Equal 16-bit parts told apart by their turn, so that two sets have at least as many in common as their digests have."""
+    v = np.frombuffer(raw, "<u2")
+    return v.astype(np.int64) << 32 | (np.arange(len(v)) - np.searchsorted(v, v))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _told if what == "rough" else lambda x: np.frombuffer(x, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(s) + len(t)
-                same = 0 if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)) else both - len(np.union1d(s, t))
-                keep.append(100 * same >= PERCENT * (both - same) > 0)
+            keep = [_alike(read(x), read(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
+    b = pairs.join(_near(sets, pairs, "b", what).withColumnRenamed("x", "y"), "b")
+    return materialise(b.join(_near(sets, pairs, "a", what), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "dedup-links")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose full sets are similar enough, written. Rough sets go first: a quarter of the bytes, and what they reject
+    the full sets would reject, too."""
     pairs = materialise(pairs, "dedup-pairs")
-    sets = _near(sets, pairs)
-    b = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return b.join(sets.select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    some = _checked(pairs, sets, "rough")
+    out = _checked(some, sets, "s")
+    release(pairs, some)
+    return out
 
 
 def _labelled(rows: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
@@ -173,82 +197,105 @@ def _labelled(rows: DataFrame, column: str, known: DataFrame, name: str) -> Data
     return rows.join(known.select(F.col("node").alias(column), F.col("component").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _open(tabled: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
-    """bucket, node, c: the buckets that hold several components, and of them the nodes that share enough tables to have a link there."""
-    labelled = _labelled(tabled.join(pivots.select("bucket"), "bucket", "left_semi"), "node", known, "c")
-    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
-    held = labelled.join(mixed, "bucket", "left_semi")
-    enough = held.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED).select("node")
-    return materialise(held.join(enough, "node", "left_semi"), "dedup-mixed")
+def _close(n: Column, m: Column) -> Column:
+    """Two sets of these sizes can be similar enough."""
+    return (100 * n >= PERCENT * m) & (100 * m >= PERCENT * n)
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """nodes (node, c) -> pairs in different components that share one of their rarest shingles: all pairs that may reach the similarity."""
-    rows = sets.join(nodes, "node")
+def _open(tabled: DataFrame, known: DataFrame) -> DataFrame:
+    """tabled (bucket, node, n) -> the same with the node's component c, only for buckets that hold several components."""
+    labelled = _labelled(tabled.select("bucket", "node", "n"), "node", known, "c")
+    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
+    return materialise(labelled.join(mixed, "bucket", "left_semi"), "dedup-mixed")
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, c, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                s = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), c)), pa.array(s), pa.array(np.full(len(s), len(s)))], ["node", "c", "shingle", "n"])
 
-    spelt = rows.select("node", "c", "s").mapInArrow(spell, "node long, c long, shingle long, n long")
-    often = spelt.groupBy("shingle").agg(F.count("*").alias("f"), F.min("c").alias("least"), F.max("c").alias("most"))
+def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes (node, c) -> pairs in different components that share one of their rarest shingles: all pairs that may reach the similarity.
+
+    Shingles of one component only are counted per document but not kept: they come first in its order of rarity and tie it to nobody."""
+
+    def spell(bits: bytes | None, slots: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for node, c, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                    s = np.frombuffer(raw, np.int64)
+                    n = len(s)
+                    s = s if bits is None else s[_marked(bits, s & (slots - 1))]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(s), x)) for x in (node, c, n)), pa.array(s)], ["node", "c", "n", "shingle"])
+
+        return own.mapInArrow(run, "node long, c long, n long, shingle long")
+
+    own = sets.join(nodes.select("node", "c"), "node").select("node", "c", "s")
+    often = spell(None, 0).groupBy("shingle").agg(F.count("*").alias("f"), F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("shingle", "f")
+    often = materialise(often, "dedup-often")
+    slots = _slots(often.count())
+    shared = spell(bitmap(often, F.pmod("shingle", F.lit(slots)), slots), slots).join(often, "shingle")
     # a document's own shingles by rarity: its group is one document
-    rarest = Window.partitionBy("node").orderBy("f", "shingle")
-    ranked = spelt.join(often, "shingle").withColumn("r", F.row_number().over(rarest))
-    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).where("least <> most").select("shingle", "node", "c", "n", (F.col("n") - F.col("r")).alias("after"))
+    mine = Window.partitionBy("node")
+    ranked = shared.withColumn("r", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("f", "shingle")))
+    first = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).select("shingle", "node", "c", "n", (F.col("n") - F.col("r")).alias("after"))
     first = materialise(first, "dedup-prefix")
     other = first.select("shingle", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
     # what is shared from here on, and so at all where this is the first shared shingle, is bounded by what is left of either
     enough = (100 + PERCENT) * (1 + F.least("after", "after_b")) >= PERCENT * (F.col("n") + F.col("nb"))
-    close = (100 * F.col("n") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("n"))
-    return first.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & close & enough).select(F.col("node").alias("a"), "b").distinct()
+    met = first.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("c") != F.col("cb")) & _close(F.col("n"), F.col("nb")) & enough)
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id, kept. exact: the prefix join goes over all sets, not only those that share a table
+    with another component, so that no link is lost by chance."""
     ready(docs.sparkSession)
     rows = materialise(sketches(docs), "dedup-sketches")
     full = rows.where("n > 0")
     nodes = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"))
     nodes = materialise(nodes.where(F.col("node").isNotNull()), "dedup-nodes")
     # 1. keys that two nodes share at least
-    spread = nodes.select("node", F.posexplode("keys").alias("i", "key"))
+    spread = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
     shared = spread.groupBy("i", "key").agg(F.count("*").alias("m")).where("m > 1").select("i", "key")
-    held = spread.join(shared, ["i", "key"], "left_semi").groupBy("node").agg(F.collect_list(F.struct("i", "key")).alias("ks"))  # 2 * TABLES at most
+    held = spread.join(shared, ["i", "key"], "left_semi").groupBy("node", "n").agg(F.collect_list(F.struct("i", "key")).alias("ks"))  # 2 * TABLES at most
     one, two = F.filter("ks", lambda k: k["i"] < TABLES), F.filter("ks", lambda k: k["i"] >= TABLES)
-    tabled = held.select("node", F.explode(one).alias("x"), two.alias("two")).select("node", "x", F.explode("two").alias("y")).select("node", F.xxhash64("x.i", "y.i", "x.key", "y.key").alias("bucket"))
+    tabled = held.select("node", "n", F.explode(one).alias("x"), two.alias("two")).select("node", "n", "x", F.explode("two").alias("y")).select("node", "n", F.xxhash64("x.i", "y.i", "x.key", "y.key").alias("bucket"))
     tabled = materialise(tabled, "dedup-tables")
     # 2. one pivot a bucket: the least by a hash of the node, so that buckets agree on it
-    pivots = tabled.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("a")).where("m > 1").select("bucket", "a")
-    star = tabled.join(pivots, "bucket").where("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("hits"))
+    pivots = tabled.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("p")).where("m > 1").select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    met = materialise(tabled.join(pivots, "bucket"), "dedup-met")
+    star = met.where((F.col("a") != F.col("node")) & _close(F.col("n"), F.col("na"))).groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("hits"))
     star = materialise(star, "dedup-star")
-    sets = sets_of(docs, star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct())
+    sets = sets_of(docs, (nodes if exact else met).select("node").distinct())
+    release(tabled)
     best = star.groupBy("b").agg(F.max(F.struct("hits", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
-    links = materialise(verified(best, sets), "dedup-links")
+    links = verified(best, sets)
     known = components(links)
     rest = _labelled(_labelled(star.select("a", "b"), "a", known, "ca"), "b", known, "cb").where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
-    links = materialise(links.unionAll(verified(rest, sets)), "dedup-links")
-    known = materialise(components(links), "dedup-components")
+    links = links.unionAll(verified(rest, sets))
+    known = components(links)
     # 3. buckets that still hold several components: other pivots first, then the exact rest
-    seen = star.select("a", "b")
+    seen, open_ = star.select("a", "b"), met
     for salt in range(1, 1 + PIVOTS):
-        open_ = _open(tabled, pivots, known)
-        pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "c"), F.xxhash64("node", F.lit(salt))).alias("p"))
-        met = open_.join(pivot, "bucket").where(F.col("p.c") != F.col("c")).groupBy("node", F.col("p.node").alias("other")).agg(F.count("*").alias("hits"))
+        open_, before = _open(open_, known), open_
+        release(before)
+        pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "c", "n"), F.xxhash64("node", F.lit(salt))).alias("p"))
+        fits = (F.col("p.c") != F.col("c")) & _close(F.col("n"), F.col("p.n"))
+        tries = open_.join(pivot, "bucket").where(fits).groupBy("node", F.col("p.node").alias("other")).agg(F.count("*").alias("hits"))
         turn = F.row_number().over(Window.partitionBy("node").orderBy(F.col("hits").desc(), "other"))
-        tried = met.withColumn("turn", turn).where(F.col("turn") <= TRIES).select(F.col("other").alias("a"), F.col("node").alias("b"))
+        tried = tries.withColumn("turn", turn).where(F.col("turn") <= TRIES).select(F.col("other").alias("a"), F.col("node").alias("b"))
         tried = materialise(tried.join(seen, ["a", "b"], "left_anti"), "dedup-tried")
         seen = seen.unionAll(tried)
-        links = materialise(links.unionAll(verified(tried, sets)), "dedup-links")
-        known = materialise(components(links), "dedup-components")
-    open_ = materialise(_open(tabled, pivots, known).select("node", "c").distinct(), "dedup-open")
-    if not open_.isEmpty():
+        links = links.unionAll(verified(tried, sets))
+        known, before = components(links), known
+        release(before)
+    if exact:
+        mixed = _labelled(nodes.select("node"), "node", known, "c")
+    else:
+        mixed = _open(open_, known).select("node", "c").distinct()
+    mixed = materialise(mixed, "dedup-open")
+    if not mixed.isEmpty():
         seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        late = materialise(verified(prefix_pairs(open_, sets).join(seen, ["a", "b"], "left_anti"), sets), "dedup-late")
+        late = verified(prefix_pairs(mixed, sets).join(seen, ["a", "b"], "left_anti"), sets)
         if not late.isEmpty():
-            known = materialise(components(links.unionAll(late)), "dedup-components")
+            known = components(links.unionAll(late))
+    release(sets, open_, star, mixed)
     by_set = _labelled(nodes.select("k1", "k2", "n", "node"), "node", known, "component_id").select("k1", "k2", "n", "component_id")
     out = rows.drop("keys").join(by_set, ["k1", "k2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))

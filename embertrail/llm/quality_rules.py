@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, ready, spread, table
+from .common import bounded_keys, held_out, ready, sampled, spread, table
 from .gbt import Trees, fit
 from .stats import COUNTS, RATIOS, text_stats
 
@@ -28,10 +28,10 @@ LEAST_WORDS, MOST_REPEATS = 20, 30
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int) -> DataFrame:
-    """doc_id, text, y of at most about `sample` labelled rows that are not held out."""
+    """doc_id, text, y of at most about `sample` labelled rows that are not held out; rows that repeat id and text are one."""
     ids = labels.where(F.col(column).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
-    chosen = bounded_sample(ids, "doc_id", sample)  # bounded, so it is broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = bounded_keys(ids, "doc_id", sample)  # bounded, so it is broadcast
+    return sampled(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample, "doc_id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:

@@ -6,9 +6,10 @@ bracket turns negative, its gradient is turned round, as in the published algori
 value is the log of its count over the root of the text's number of distinct words, so words that are only more frequent in toxic texts
 count too, and long texts do not turn toxic by length.
 
-Features are counted in Spark over all confirmed positives and all documents that are not held out; those that stand out among positives
-become the vocabulary. The fit reads a bounded sample (at most about POSITIVES and UNLABELLED texts), of which only the features' indices
-and values come to the driver. Scoring is one pass over whole texts.
+Features are counted in Spark over all confirmed positives and all documents that are not held out. Those that are clearly more frequent
+among positives than overall become the vocabulary, and those that are clearly rarer; weights may take either sign. The fit reads a bounded
+sample (at most about POSITIVES confirmed and UNLABELLED other texts, chosen by a hash of the text; equal texts are one row with a weight),
+of which only the features' indices and values come to the driver. Scoring is one pass over whole texts.
 
 Defined cases: null and empty texts have no features and get the intercept's score; with no positives every score is 0; null labels are
 not used; a null id is held out; repeated rows score alike; an empty table gives an empty result.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, materialise, ready, spread, table
+from .common import held_out, materialise, ready, release, sampled, spread, table
 from .features import Cache, word_features
 
-#: The bounds of the training sample, and of the vocabulary.
-POSITIVES, UNLABELLED, VOCABULARY = 4000, 12_000, 8192
-#: A feature must be in so many positives and stand out by so many standard errors; the weights decide on the rest.
-LEAST_POSITIVES, LEAST_Z = 3, 2.0
+#: The bounds of the training sample, and the size of the model: as many features as a worker may hold.
+POSITIVES, UNLABELLED, VOCABULARY = 4000, 12_000, 1 << 16
+#: A feature must be in so many positives and stand out by so many standard errors, or be in so many documents and be rarer among positives
+#: by so many; the weights decide on the rest.
+LEAST_POSITIVES, LEAST_Z, LEAST_DOCUMENTS, LEAST_BELOW = 3, 2.0, 20, 3.0
+#: Ids that every task may hold: 8 MB.
+BROADCAST_IDS = 1_000_000
 #: The scale of feature values, which are small.
 SCALE = 5.0
 
@@ -65,13 +70,14 @@ def vector(raw: bytes | None, cache: Cache) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at, np.int32), np.log1p(np.array([found[i] for i in at], np.float32)) * np.float32(SCALE / max(1, len(words)) ** 0.5)
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, values: list[np.ndarray] | None = None) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative risk. rows: the feature indices of each text; values: the features' values, else 1."""
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float, steps: int = 500, rate: float = 0.05, decay: float = 1e-4, values: list[np.ndarray] | None = None, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk. rows: the feature indices of each text; values: the features' values, else 1; weights of rows, else 1."""
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate([*rows, np.array([], np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
     x = np.ones(len(flat)) if values is None else np.concatenate([*values, np.zeros(0)])
-    share_p, share_u = positive / max(1, positive.sum()), ~positive / max(1, (~positive).sum())
+    each = np.ones(len(rows)) if weights is None else weights
+    share_p, share_u = (each * of / max(1, (each * of).sum()) for of in (positive, ~positive))
     theta, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     theta[d] = -1.0
     for step in range(1, steps + 1):
@@ -84,54 +90,56 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float,
         grad[:d] += decay * theta[:d]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        theta[:d] = np.maximum(theta[:d], 0)  # only features that stand out among positives are here
     return theta[:d], float(theta[d])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    ready(docs.sparkSession)
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    if not n_toxic:
-        return Model({}, np.zeros(0), -40.0)
-    prior = min(0.9, n_toxic / n_known)
-    toxic = known.where("toxic = 1").select("doc_id")
-    confirmed = bounded_sample(toxic, "doc_id", POSITIVES)
-    n = docs.count()
-    some = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
-    unlabelled = some.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, UNLABELLED / max(1, n))))
-    sample = some.join(F.broadcast(confirmed), "doc_id").select("text", F.lit(True).alias("positive")).unionAll(unlabelled.select("text", F.lit(False).alias("positive")))
-    sample = materialise(sample.select(F.col("text").cast("binary").alias("text"), "positive"), "toxicity-sample")
-
-    everything = some.join(toxic.withColumn("positive", F.lit(True)), "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce("positive", F.lit(False)).alias("positive"))
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """text (binary) -> f, n: in how many rows each feature occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: Cache = Cache(word_features, 50_000)
-        seen: dict[bytes, list[int]] = {}
+        ids: dict[bytes, int] = {}
+        cache: Cache = Cache(lambda w: tuple(ids.setdefault(f, len(ids)) for f in word_features(w)), 50_000)
+        seen: list[np.ndarray] = []
+        held = 0
 
         def part() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["f", "p", "u"])
-            seen.clear()
+            n = np.bincount(np.concatenate([np.zeros(0, np.int64), *seen]), minlength=len(ids))
+            at = np.flatnonzero(n)
+            out = pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()).take(pa.array(at)), pa.array(n[at], pa.int64())], ["f", "n"])
+            ids.clear(), cache.clear(), cache.old.clear(), seen.clear()
             return out
 
         for b in batches:
-            for text, positive in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own: set[bytes] = set()
-                for w in set(text.split()) if text else ():
-                    own.update(cache[w])
-                for f in own:
-                    n = seen.setdefault(f, [0, 0])
-                    n[0] += positive
-                    n[1] += 1  # positives are documents, too
-                if len(seen) > 100_000:  # part of the counts; Spark adds them up
+            for text in b.column(0).to_pylist():
+                own = np.unique(np.fromiter(chain.from_iterable(map(cache.__getitem__, set(text.split()) if text else ())), np.int64))
+                seen.append(own)
+                held += len(own)
+                if held > 2_000_000 or len(ids) > 100_000:  # part of the counts; Spark adds them up
                     yield part()
+                    held = 0
         yield part()
 
-    n_p, n_u = everything.agg(F.coalesce(F.sum(F.col("positive").cast("long")), F.lit(0)), F.count("*")).first()
-    rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("u") + F.lit(0.5)) / F.lit(float(max(1, n_u)))
-    z = (rate_p - rate_u) / F.sqrt(rate_p / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
-    counts = everything.mapInArrow(count, "f binary, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    chosen = counts.where(F.col("p") >= LEAST_POSITIVES).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "f").limit(VOCABULARY)
+    return texts.mapInArrow(count, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    ready(docs.sparkSession)
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n_known, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
+    if not n_toxic:
+        return Model({}, np.zeros(0), -40.0)
+    prior = min(0.9, n_toxic / n_known)
+    some = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("text").cast("binary").alias("text"))
+    toxic = known.where("toxic = 1").select("doc_id")
+    if n_toxic <= BROADCAST_IDS:  # beyond, the planner filters the texts by a Bloom filter of the ids before it shuffles them
+        toxic = F.broadcast(toxic)
+    confirmed = materialise(some.join(toxic, "doc_id", "left_semi").select("text"), "toxicity-positives")
+    n_p, n_u = confirmed.count(), some.count()
+    counts = feature_counts(some.select("text")).join(feature_counts(confirmed).withColumnRenamed("n", "p"), "f", "left").select("f", "n", F.coalesce("p", F.lit(0)).alias("p"))
+    rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("n") + F.lit(0.5)) / F.lit(float(max(1, n_u)))  # positives are documents, too
+    z = (rate_p - rate_u) / F.sqrt(F.greatest(rate_p, F.lit(1.0 / max(1, n_p))) / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
+    above, below = (F.col("p") >= LEAST_POSITIVES) & (F.col("z") >= LEAST_Z), (F.col("n") >= LEAST_DOCUMENTS) & (F.col("z") <= -LEAST_BELOW)
+    chosen = counts.withColumn("z", z).where(above | below).orderBy(F.abs("z").desc(), "f").limit(VOCABULARY)
     vocabulary = {bytes(r["f"]): i for i, r in enumerate(chosen.select("f").collect())}
     model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
@@ -139,12 +147,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         cache = model.indices()
         for b in batches:
             rows = [vector(t, cache) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes() for at, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), b.column(1)], ["at", "x", "positive"])
-
-    rows = sample.mapInArrow(index, "at binary, x binary, positive boolean").toArrow()
-    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("positive", "at", "x")), strict=True))  # rows arrive in any order
-    weights, bias = fit_nnpu([np.frombuffer(at, np.int32) for _, at, _ in got], np.array([p for p, _, _ in got], bool), len(vocabulary), prior, values=[np.frombuffer(x, np.float32) for _, _, x in got])
-    used = [f for f, i in vocabulary.items() if weights[i] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes() for at, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), b.column(1), b.column(2)], ["at", "x", "repeats", "positive"])
+
+    parts = [sampled(confirmed, POSITIVES, "text").withColumn("positive", F.lit(True)), sampled(some.select("text"), UNLABELLED, "text").withColumn("positive", F.lit(False))]
+    rows = parts[0].unionAll(parts[1]).mapInArrow(index, "at binary, x binary, repeats long, positive boolean").toArrow()
+    release(confirmed)
+    got = sorted(zip(*(rows.column(c).to_pylist() for c in ("positive", "at", "x", "repeats")), strict=True))  # rows arrive in any order
+    read = lambda i, kind: [np.frombuffer(r[i], kind) for r in got]
+    weights, bias = fit_nnpu(read(1, np.int32), np.array([r[0] for r in got], bool), len(vocabulary), prior, values=read(2, np.float32), weights=np.array([r[3] for r in got], float))
+    used = [f for f, i in vocabulary.items() if weights[i]]
     return Model({f: i for i, f in enumerate(used)}, weights[[vocabulary[f] for f in used]], bias)
 
 

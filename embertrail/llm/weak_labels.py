@@ -1,9 +1,12 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on every document. Their votes are counted by pattern over the whole corpus
-(at most 3^labellers patterns, whatever the corpus size), and expectation-maximisation on the pattern counts estimates how often each
-labeller is right about good and about bad documents, but that bad votes are precise is imposed (RATIO), not estimated. The posterior of a pattern is the label of its documents. A hashed linear scorer
-is then trained on at most about `sample` documents with these soft labels and scores every whole text.
+Overlapping heuristic labellers vote good, bad or nothing on every document; each flaw shows in the votes of several. Votes are counted by
+pattern over the whole corpus (at most 3^labellers patterns, whatever its size). Expectation-maximisation on the pattern counts then
+estimates how often each labeller votes bad on good documents and on each kind of bad ones. Bad documents have different flaws, so the bad
+class is a mixture with one kind a labeller, and the start treats all labellers alike: right with HIT, wrong with MISS. Priors are a few
+pseudo-votes (PSEUDO), so the counts decide; kinds that nobody needs die out. The posterior of a pattern is the label of its documents, and
+one vote does not decide it. A hashed linear scorer is trained on at most about `sample` different texts with these soft labels and scores
+every whole text.
 
 Defined cases: null and empty texts get the votes of an empty text and the scorer's intercept; repeated rows score alike; null ids stay;
 an empty table gives an empty result. No human label is read.
@@ -13,61 +16,74 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, spread, table
+from .common import ready, sampled, spread, table
 from .features import Cache
 from .stats import RATIOS, text_stats
 
 SAMPLE, BITS = 6000, 14
-_AT = {name: i for i, name in enumerate(RATIOS)}
-#: labeller -> (statistic, bad above, good below); None: it never votes so. A flaw's absence says nothing, so most only vote bad.
+HIT, MISS, PSEUDO, STEPS = 0.7, 0.3, 5.0, 200
+#: labeller -> statistic, bad outside these values, good between those. Every flaw moves several of the statistics.
 LABELLERS = {
-    "symbols": ("symbols_per_word", 0.2, None),
-    "repeats": ("repeat_share", 0.3, None),
-    "capitals": ("upper_share", 0.4, None),
-    "exclaims": ("bang_per_word", 0.2, None),
-    "doubled_lines": ("dup_line_share", 0.25, None),
-    "marks": ("mark_share", 0.15, None),
-    "variety": ("unique_share", None, 0.9),
+    "symbols": ("symbols_per_word", (0.0, 0.2), (0.0, 0.02)),
+    "marks": ("mark_share", (0.0, 0.1), (0.0, 0.06)),
+    "repeats": ("repeat_share", (0.0, 0.3), (0.0, 0.05)),
+    "variety": ("unique_share", (0.3, 1.0), (0.45, 1.0)),
+    "echo": ("echo_share", (0.0, 0.2), (0.0, 0.05)),
+    "capitals": ("upper_share", (0.0, 0.3), (0.0, 0.1)),
+    "exclaims": ("bang_per_word", (0.0, 0.2), (0.0, 0.02)),
+    "rhythm": ("words_per_stop", (1.5, 60.0), (4.0, 30.0)),
+    "lines": ("dup_line_share", (0.0, 0.25), (0.0, 0.05)),
+    "length": ("log_words", (1.3, 99.0), (4.1, 99.0)),
 }
-SHORT, LONG = 3, 60
-#: A vote for bad is taken to be at least so many times likelier on a bad document: flaws are rare in good ones, but each bad document has few.
-RATIO = 1000
+STATS = (*RATIOS, "echo_share", "words_per_stop")
+_RULES = tuple((STATS.index(name), *bad, *good) for name, bad, good in LABELLERS.values())
 
 
-def votes(counts: tuple[int, ...], ratios: tuple[float, ...]) -> int:
-    """The votes as a base-3 number, 0 nothing, 1 bad, 2 good by labeller; the last labeller looks at length."""
+def statistics(raw: bytes | None) -> tuple[float, ...]:
+    """The ratios of a text, the share of words that equal the one before, and words by sentence end."""
+    ratios = text_stats(raw)[1]
+    words = raw.split() if raw else []
+    if not words:
+        return (*ratios, 0.0, 0.0)
+    echo = sum(map(eq, words, islice(words, 1, None))) / max(1, len(words) - 1)
+    stops = sum(raw.count(mark + space) for mark in (b".", b"!", b"?") for space in (b" ", b"\n")) + raw.endswith((b".", b"!", b"?"))
+    return (*ratios, echo, len(words) / max(1, stops))
+
+
+def votes(stats: tuple[float, ...]) -> int:
+    """The votes as a base-3 number, 0 nothing, 1 bad, 2 good by labeller."""
     code = 0
-    for name, bad, good in LABELLERS.values():
-        x = ratios[_AT[name]]
-        code = code * 3 + (1 if bad is not None and x > bad else 2 if good is not None and x <= good and counts[0] else 0)
-    return code * 3 + (1 if counts[0] < SHORT else 2 if counts[0] > LONG else 0)
+    for i, low, high, least, most in _RULES:
+        x = stats[i]
+        code = code * 3 + (2 if least <= x <= most else 0 if low <= x <= high else 1)
+    return code
 
 
-def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = 100, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM on pattern counts: P(good | pattern), accuracies (labeller, class bad/good, vote nothing/bad/good), P(good)."""
+def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM on pattern counts: P(good | pattern); P(bad vote | class, labeller votes) by class, the good one first, then the kinds of bad
+    ones; P(class). Votes of nothing say nothing."""
     v = np.stack([codes // 3**i % 3 for i in range(labellers)][::-1], 1) if len(codes) else np.zeros((0, labellers), int)
-    n = n.astype(float)
-    bad, good = (v == 1).sum(1), (v == 2).sum(1)
-    p = np.where(bad >= 1, 0.05, (good + 1) / (good + 2))  # start: a vote for bad counts
-    table_, share = np.zeros((labellers, 2, 3)), 0.5
+    bad, good, n = (v == 1).astype(float), (v == 2).astype(float), n.astype(float)
+    start = np.full((1 + labellers, labellers), MISS)
+    start[1 + np.arange(labellers), np.arange(labellers)] = HIT
+    rate, share = start.copy(), np.concatenate([[0.5], np.full(labellers, 0.5 / labellers)])
     for _ in range(steps):
-        share = float(((p * n).sum() + 1) / (n.sum() + 2))
-        for j in range(labellers):
-            for vote in range(3):
-                at = v[:, j] == vote
-                table_[j, 1, vote] = (p * n)[at].sum() + 1
-                table_[j, 0, vote] = ((1 - p) * n)[at].sum() + 1
-        table_ /= table_.sum(2, keepdims=True)
-        table_[:, 1, 1] = np.minimum(table_[:, 1, 1], table_[:, 0, 1] / ratio)
-        log = [np.log(c) + sum(np.log(table_[j, k, v[:, j]]) for j in range(labellers)) for k, c in ((0, 1 - share), (1, share))]
-        p = 1 / (1 + np.exp(np.clip(log[0] - log[1], -40, 40)))
-    return p, table_, share
+        log = np.log(share) + bad @ np.log(rate.T) + good @ np.log(1 - rate.T)
+        own = np.exp(log - log.max(1, keepdims=True))
+        own /= own.sum(1, keepdims=True)
+        held = own * n[:, None]
+        share = (held.sum(0) + 1) / (n.sum() + len(share))
+        said_bad, said_good = held.T @ bad + PSEUDO * start, held.T @ good + PSEUDO * (1 - start)
+        rate = said_bad / (said_bad + said_good)
+    return own[:, 0], rate, share
 
 
 def _hashed(word: bytes) -> tuple[int, int]:
@@ -88,12 +104,12 @@ def vector(raw: bytes | None, ratios: tuple[float, ...], cache: Cache) -> tuple[
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, n = np.unique(np.fromiter((i for w in words for i in cache[w]), np.int32, 2 * len(words)), return_counts=True)
     x = np.log1p(n).astype(np.float32)
-    steps = [zlib.crc32(f"\1{name} {int(min(r, 20.0) * 10)}".encode()) >> (32 - BITS) for name, r in zip(RATIOS, ratios, strict=True)]
+    steps = [zlib.crc32(f"\1{name} {int(r * 10)}".encode()) >> (32 - BITS) for name, r in zip(RATIOS, ratios, strict=False)]
     return np.concatenate([at, np.array(steps, np.int32)]), np.concatenate([x / np.sqrt((x * x).sum()), np.full(len(steps), 0.3, np.float32)])
 
 
-def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft labels, full-batch Adam; the intercept comes last."""
+def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> np.ndarray:
+    """Logistic regression on soft labels of rows with weights, full-batch Adam; the intercept comes last."""
     d = 1 << BITS
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]) if rows else np.zeros(0, int)
     at = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)]).astype(np.int64)
@@ -101,7 +117,7 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, steps:
     w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, (steps if rows else 0) + 1):
         s = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w[at] * x, len(rows)) + w[d], -40, 40)))
-        r = (s - y) / len(rows)
+        r = (s - y) * weights / weights.sum()
         g = np.concatenate([np.bincount(at, r[owner] * x, d), [r.sum()]]) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -113,7 +129,7 @@ def label(docs: DataFrame) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(*text_stats(t)) for t in b.column(1).to_pylist()], pa.int32())], ["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([votes(statistics(t)) for t in b.column(1).to_pylist()], pa.int32())], ["doc_id", "pattern"])
 
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -126,30 +142,29 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = label(docs).groupBy("pattern").count().orderBy("pattern").collect()  # at most 3^labellers rows
     codes, n = np.array([r[0] for r in counts], np.int64), np.array([r[1] for r in counts])
-    p, _, _ = posteriors(codes, n, len(LABELLERS) + 1)
+    p, _, _ = posteriors(codes, n, len(LABELLERS))
     known = {int(c): float(x) for c, x in zip(codes, p, strict=True)}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: Cache = Cache(_hashed)
         for b in batches:
             texts = b.column(0).to_pylist()
-            stats = [text_stats(t) for t in texts]
-            rows = [vector(t, r, cache) for t, (_, r) in zip(texts, stats, strict=True)]
-            y = [known[votes(*s)] for s in stats]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array(y, pa.float64())], ["at", "x", "y"])
+            stats = [statistics(t) for t in texts]
+            rows = [vector(t, s, cache) for t, s in zip(texts, stats, strict=True)]
+            y = [known[votes(s)] for s in stats]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array(y, pa.float64()), b.column(1)], ["at", "x", "y", "repeats"])
 
-    share = min(1.0, sample / max(1, int(n.sum())))
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("weak")), F.lit(1 << 30)) < int((1 << 30) * share))
-    got = sorted(zip(*(c.to_pylist() for c in some.select(F.col("text").cast("binary")).mapInArrow(gather, "at binary, x binary, y double").toArrow().columns), strict=True))
-    w = fit_linear([(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x, _ in got], np.array([y for _, _, y in got]))
+    some = sampled(docs.select(F.col("text").cast("binary").alias("text")), sample, "text")
+    got = sorted(zip(*(c.to_pylist() for c in some.mapInArrow(gather, "at binary, x binary, y double, repeats long").toArrow().columns), strict=True))
+    w = fit_linear([(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32)) for a, x, _, _ in got], np.array([r[2] for r in got]), np.array([r[3] for r in got], float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: Cache = Cache(_hashed)
         for b in batches:
             texts = b.column(1).to_pylist()
-            stats = [text_stats(t) for t in texts]
-            pattern = [votes(*s) for s in stats]
-            raw = np.array([float(w[at] @ x) for at, x in (vector(t, r, cache) for t, (_, r) in zip(texts, stats, strict=True))]) + w[-1]
+            stats = [statistics(t) for t in texts]
+            pattern = [votes(s) for s in stats]
+            raw = np.array([float(w[at] @ x) for at, x in (vector(t, s, cache) for t, s in zip(texts, stats, strict=True))]) + w[-1]
             s = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pattern, pa.int32()), pa.array([known.get(c, 0.5) for c in pattern], pa.float64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 

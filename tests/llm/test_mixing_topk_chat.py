@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,35 @@ def test_chat_parts_round_trip(spark):
     assert out[None]["turns"][0]["role"] == "a b\n" and one["formatted"].count("<|im_start|>") == 3
     assert chat.format_chat(df.where("false")).count() == 0
     json.dumps(one["formatted"])
+
+
+def test_arrange_moves_texts_by_position_and_meets_targets(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 5}" if i % 11 else None) for i in range(4000)] + [(None, None, "s1"), (5, "", "s1"), (6, "w w", "s1"), (6, "w w", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _at", "2 as rank")
+    a, b = ([tuple(r) for r in mixing.arrange(x).collect()] for x in (docs, docs.repartition(7)))
+    assert a == b and all(len(r) == 5 for r in a)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    target = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    got = Counter()
+    for r in a:
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[s] - target[s]) <= 0.02 * target[s] + 7 for s in size)
+    assert max(Counter(r["doc_id"] for r in a if r["doc_id"] not in (None, 6)).values()) <= 2
+    assert mixing.arrange(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 1 << 16])
+def test_arrange_keeps_the_order_of_the_exact_mix(spark, monkeypatch, ranges):
+    """Early sources lie early: the mean place of each source is that of the exact positions."""
+    monkeypatch.setattr(mixing, "RANGES", ranges)
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    place = {}
+    out = [r["source"] for r in mixing.arrange(docs).collect()]
+    for at, s in enumerate(out):
+        place.setdefault(s, []).append(at / len(out))
+    exact = mixing.mix(docs, keep=("source",)).selectExpr("row.source", "explode(passes) as p").where("p.words > 0").orderBy("p.position").collect()
+    for s, at in place.items():
+        want = [i / len(exact) for i, r in enumerate(exact) if r["source"] == s]
+        assert abs(sum(at) / len(at) - sum(want) / len(want)) < 0.03
