@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrail.llm import mixing, near_dedup, packing, pii, toxicity
-from embertrail.llm.common import materialise, ready, spread, table
+from embertrail.llm.common import materialise, ready, release, spread, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in the order of training positions. A copy at the edge of its source's target is in if at
-    least half of its words are; documents without words are not taken."""
-    mixed = mixing.mix(docs, keep=tuple(docs.columns))
-    copies = mixed.select("row", "size", F.explode("passes").alias("copy")).where((F.col("copy.words") > 0) & (2 * F.col("copy.words") >= F.col("size")))
-    return copies.orderBy("copy.position").select("row.*")
+    """Each document as often as the mix takes it, in the order of training positions. A copy that starts before its source's target is in;
+    documents without words are not taken; equal rows are taken each."""
+    return mixing.arrange(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +70,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs, f"pipeline-{name}")
+            out = materialise(out, f"pipeline-{name}")
+            release(docs)
+        docs = out
     return docs
