@@ -10,9 +10,12 @@ CACHE = 100_000
 
 def word_features(word: bytes) -> tuple[bytes, ...]:
     """The word, and its prefixes of 4 to 6 letters (with a star)."""
+    word = word.strip(_EDGE)
+    if word.isascii():
+        word = word.lower()
+        return (word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k)) if word else ()
     text = word.decode(errors="replace").lower()
-    text = text.encode().strip(_EDGE).decode(errors="replace")
-    return (text.encode(), *(text[:k].encode() + b"*" for k in PREFIXES if len(text) > k)) if text else ()
+    return (text.encode(), *(text[:k].encode() + b"*" for k in PREFIXES if len(text) > k))
 
 
 class Cache(dict):

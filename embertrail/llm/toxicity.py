@@ -6,7 +6,8 @@ bracket turns negative, its gradient is turned round, as in the published algori
 value is the log of its count over the root of the text's number of distinct words, so words that are only more frequent in toxic texts
 count too, and long texts do not turn toxic by length.
 
-Features are counted in Spark over all confirmed positives and all documents that are not held out. Those that are clearly more frequent
+Features are counted in Spark over all confirmed positives and, as far as these or the sample have them often enough, over all documents
+that are not held out. Those that are clearly more frequent
 among positives than overall become the vocabulary, and those that are clearly rarer; weights may take either sign. The fit reads a bounded
 sample (at most about POSITIVES confirmed and UNLABELLED other texts, chosen by a hash of the text; equal texts are one row with a weight),
 of which only the features' indices and values come to the driver. Scoring is one pass over whole texts.
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import held_out, materialise, ready, release, sampled, spread, table
 from .features import Cache, word_features
 
-#: The bounds of the training sample, and the size of the model: as many features as a worker may hold.
+#: The bounds of the training sample, and the size of the model: twice as many features at most, the most frequent ones of either set.
 POSITIVES, UNLABELLED, VOCABULARY = 4000, 12_000, 1 << 16
 #: A feature must be in so many positives and stand out by so many standard errors, or be in so many documents and be rarer among positives
 #: by so many; the weights decide on the rest.
 LEAST_POSITIVES, LEAST_Z, LEAST_DOCUMENTS, LEAST_BELOW = 3, 2.0, 20, 3.0
+#: A feature that positives lack must be in so many texts of the sample to be counted at all; rarer ones cannot stand out.
+LEAST_SAMPLED = 5
 #: Ids that every task may hold: 8 MB.
 BROADCAST_IDS = 1_000_000
 #: The scale of feature values, which are small.
@@ -93,33 +96,43 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, d: int, prior: float,
     return theta[:d], float(theta[d])
 
 
-def feature_counts(texts: DataFrame) -> DataFrame:
-    """text (binary) -> f, n: in how many rows each feature occurs."""
+def feature_counts(texts: DataFrame, only: dict[bytes, int] | None = None) -> DataFrame:
+    """text (binary) -> f, n: in how many rows each feature occurs. only: these features, by number; their number comes as f."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        cache: Cache = Cache(lambda w: tuple(ids.setdefault(f, len(ids)) for f in word_features(w)), 50_000)
+        ids: dict[bytes, int] = {} if only is None else only
+        if only is None:
+            cache: Cache = Cache(lambda w: tuple(ids.setdefault(f, len(ids)) for f in word_features(w)), 50_000)
+        else:
+            cache = Model(only, np.zeros(0), 0.0).indices()
+        n = np.zeros(0, np.int64)
         seen: list[np.ndarray] = []
-        held = 0
+
+        def add() -> None:
+            nonlocal n
+            more = np.bincount(np.concatenate([np.zeros(0, np.int64), *seen]), minlength=max(len(ids), len(n)))
+            more[: len(n)] += n
+            n = more
+            seen.clear()
 
         def part() -> pa.RecordBatch:
-            n = np.bincount(np.concatenate([np.zeros(0, np.int64), *seen]), minlength=len(ids))
+            add()
             at = np.flatnonzero(n)
-            out = pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()).take(pa.array(at)), pa.array(n[at], pa.int64())], ["f", "n"])
-            ids.clear(), cache.clear(), cache.old.clear(), seen.clear()
-            return out
+            names = pa.array(list(ids), pa.binary()).take(pa.array(at)) if only is None else pa.array(at, pa.int32())
+            return pa.RecordBatch.from_arrays([names, pa.array(n[at], pa.int64())], ["f", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                own = np.unique(np.fromiter(chain.from_iterable(map(cache.__getitem__, set(text.split()) if text else ())), np.int64))
-                seen.append(own)
-                held += len(own)
-                if held > 2_000_000 or len(ids) > 100_000:  # part of the counts; Spark adds them up
-                    yield part()
-                    held = 0
+                seen.append(np.unique(np.fromiter(chain.from_iterable(map(cache.__getitem__, set(text.split()) if text else ())), np.int64)))
+            add()
+            if only is None and len(ids) > 200_000:  # part of the counts; Spark adds them up
+                yield part()
+                ids.clear(), cache.clear(), cache.old.clear()
+                n = np.zeros(0, np.int64)
         yield part()
 
-    return texts.mapInArrow(count, "f binary, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    kind = "binary" if only is None else "int"
+    return texts.mapInArrow(count, f"f {kind}, n long").groupBy("f").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -135,12 +148,20 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         toxic = F.broadcast(toxic)
     confirmed = materialise(some.join(toxic, "doc_id", "left_semi").select("text"), "toxicity-positives")
     n_p, n_u = confirmed.count(), some.count()
-    counts = feature_counts(some.select("text")).join(feature_counts(confirmed).withColumnRenamed("n", "p"), "f", "left").select("f", "n", F.coalesce("p", F.lit(0)).alias("p"))
-    rate_p, rate_u = F.col("p") / F.lit(float(max(1, n_p))), (F.col("n") + F.lit(0.5)) / F.lit(float(max(1, n_u)))  # positives are documents, too
-    z = (rate_p - rate_u) / F.sqrt(F.greatest(rate_p, F.lit(1.0 / max(1, n_p))) / F.lit(float(max(1, n_p))) + rate_u / F.lit(float(max(1, n_u))))
-    above, below = (F.col("p") >= LEAST_POSITIVES) & (F.col("z") >= LEAST_Z), (F.col("n") >= LEAST_DOCUMENTS) & (F.col("z") <= -LEAST_BELOW)
-    chosen = counts.withColumn("z", z).where(above | below).orderBy(F.abs("z").desc(), "f").limit(VOCABULARY)
-    vocabulary = {bytes(r["f"]): i for i, r in enumerate(chosen.select("f").collect())}
+    unlabelled = materialise(sampled(some.select("text"), UNLABELLED, "text"), "toxicity-unlabelled")
+    # what may stand out either way: features of the positives, and those that a sample of the corpus knows
+    p = materialise(feature_counts(confirmed).where(F.col("n") >= LEAST_POSITIVES).withColumnRenamed("n", "p"), "toxicity-counts")
+    s = feature_counts(unlabelled.select("text")).where(F.col("n") >= LEAST_SAMPLED).orderBy(F.col("n").desc(), "f").limit(VOCABULARY)
+    may = [(bytes(r["f"]), r["p"] or 0) for r in p.orderBy(F.col("p").desc(), "f").limit(VOCABULARY).join(s, "f", "full").select("f", "p").orderBy("f").collect()]
+    # their counts over the whole corpus
+    n = np.zeros(len(may))
+    for r in feature_counts(some.select("text"), {f: i for i, (f, _) in enumerate(may)}).collect():  # at most 2 * VOCABULARY rows
+        n[r["f"]] = r["n"]
+    count_p = np.array([c for _, c in may], float)
+    rate_p, rate_u = count_p / max(1, n_p), (n + 0.5) / max(1, n_u)  # positives are documents, too
+    z = (rate_p - rate_u) / np.sqrt(np.maximum(rate_p, 1 / max(1, n_p)) / max(1, n_p) + rate_u / max(1, n_u))
+    chosen = np.flatnonzero(((count_p >= LEAST_POSITIVES) & (z >= LEAST_Z)) | ((n >= LEAST_DOCUMENTS) & (z <= -LEAST_BELOW)))
+    vocabulary = {may[k][0]: i for i, k in enumerate(chosen)}
     model = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = [vector(t, cache) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([at.tobytes() for at, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()), b.column(1), b.column(2)], ["at", "x", "repeats", "positive"])
 
-    parts = [sampled(confirmed, POSITIVES, "text").withColumn("positive", F.lit(True)), sampled(some.select("text"), UNLABELLED, "text").withColumn("positive", F.lit(False))]
+    parts = [sampled(confirmed, POSITIVES, "text").withColumn("positive", F.lit(True)), unlabelled.withColumn("positive", F.lit(False))]
     rows = parts[0].unionAll(parts[1]).mapInArrow(index, "at binary, x binary, repeats long, positive boolean").toArrow()
-    release(confirmed)
+    release(confirmed, unlabelled, p)
     got = sorted(zip(*(rows.column(c).to_pylist() for c in ("positive", "at", "x", "repeats")), strict=True))  # rows arrive in any order
     read = lambda i, kind: [np.frombuffer(r[i], kind) for r in got]
     weights, bias = fit_nnpu(read(1, np.int32), np.array([r[0] for r in got], bool), len(vocabulary), prior, values=read(2, np.float32), weights=np.array([r[3] for r in got], float))

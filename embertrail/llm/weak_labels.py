@@ -14,6 +14,7 @@ an empty table gives an empty result. No human label is read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -86,15 +87,16 @@ def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = ST
     return own[:, 0], rate, share
 
 
+#: ASCII letters and digits by their class; other characters stand for themselves.
+_CLASS = bytes(65 if 65 <= b < 91 else 97 if 97 <= b < 123 else 48 if 48 <= b < 58 else b for b in range(256))
+_RUN = re.compile(r"(.)\1+", re.S)
+
+
 def _hashed(word: bytes) -> tuple[int, int]:
     """Buckets of the lower-cased word and of its shape (letter cases, digits and marks, runs shortened)."""
     text = word.decode(errors="replace")
-    shape = []
-    for c in text:
-        s = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not shape or shape[-1] != s:
-            shape.append(s)
-    return zlib.crc32(text.lower().encode()) >> (32 - BITS), zlib.crc32(b"\0" + "".join(shape[:8]).encode()) >> (32 - BITS)
+    classes = word.translate(_CLASS).decode() if word.isascii() else "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in text)
+    return zlib.crc32(text.lower().encode()) >> (32 - BITS), zlib.crc32(b"\0" + _RUN.sub(r"\1", classes)[:8].encode()) >> (32 - BITS)
 
 
 def vector(raw: bytes | None, ratios: tuple[float, ...], cache: Cache) -> tuple[np.ndarray, np.ndarray]:
