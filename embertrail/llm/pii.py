@@ -1,24 +1,28 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base rules find e-mail addresses, IP addresses, card and phone numbers by form. They are the seeds. Looser forms of each kind give
-candidates. A pattern is the one or two words to the left of a mention. Spark counts how often patterns meet instances, and how often a
+Base rules find e-mail addresses, IP addresses, card and phone numbers by form; they are seeds. Two more kinds have seeds of strict form,
+which are no spans by themselves: account numbers whose check digits hold, and secrets, long runs of mixed letters and digits. Looser forms
+of every kind give candidates. A pattern is what stands beside a mention: the word before it, the two words before it, the word after it,
+or one on each side; words of marks only, such as '=', count as words. Spark counts how often patterns meet instances, and how often a
 pattern's words occur at all; then the pattern-instance graph is scored in rounds: a pattern's confidence is the summed score of the
-instances after it over all occurrences of its words, a candidate's score the noisy-or of its patterns. Patterns with enough different
-seeds and high confidence add the candidates that stand after them; base spans stay as they are.
+instances in it over all occurrences of its words, a candidate's score the noisy-or of its patterns. Patterns with enough different seeds
+and high confidence add the mentions of their kind that stand in them; base spans stay as they are.
 
 Texts are only read in Arrow passes; what is shuffled are mentions and counts. With no candidate anywhere there is nothing to find and
 the graph is skipped.
 
 Defined cases: null and empty texts have no spans; equal texts get equal spans; null ids stay; an empty table gives an empty result;
-positions are code points, ends exclusive.
+positions are code points, ends exclusive; where added spans touch, the longest stays.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -27,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ready, spread, table
+from .common import materialise, ready, release, spread, table
 from .features import Cache
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds, in the order of equal starts.
+ALL = (*KINDS, "account", "secret")
 Span = tuple[str, int, int]
 # The base forms. A start inside a run of digits can only match where the run's own start does.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -40,11 +46,15 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Looser forms, by kind: form, and the numbers of digits allowed (None: any).
 LOOSE = {
-    "email": (re.compile(r"(?<!\S)[^\s@,;<>()\[\]\"']{1,64}(?:@|[\[(]at[\])])[^\s@,;<>()\[\]\"']{2,190}|(?<!\S)[\w.+-]{1,64} (?:\(at\)|\[at\]) [\w.-]{2,190}"), None),
+    "email": (re.compile(r"(?<!\S)[^\s@,;<>()\[\]\"']+(?:@|[\[(]at[\])])[^\s@,;<>()\[\]\"']{2,}|(?<!\S)[\w.+-]+ (?:\(at\)|\[at\]) [\w.-]{2,}"), None),
     "ip": (re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,6}:[0-9A-Fa-f]{1,4}(?![\w:])"), None),
     "card": (re.compile(r"(?<![\w+.-])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,4})?(?![\w-])"), (12, 19)),
     "phone": (re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{2,5}){1,4}(?![\w-])"), (7, 15)),
+    "account": (re.compile(r"(?<![\w-])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,3}[ -]?[0-9]{6,12}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"), (6, 34)),
+    "secret": (re.compile(r"(?<![\w+/=.@-])[A-Za-z0-9_+/-]{8,}={0,2}(?![\w+/=@-])"), (2, 10_000)),
 }
+#: Letters and digits of a seed of kind secret, and how many different ones.
+LONG_SECRET, VARIED = 24, 8
 SEEDS, ALPHA, CONFIDENT, ROUNDS, SLOTS = 3, 1.0, 0.5, 3, 1 << 22
 _EDGE = ".,;:!?*$#%&\"'()[]{}<>|/\\-_=+~`^@"
 
@@ -83,47 +93,108 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _iban(raw: str) -> bool:
+    """The check digits of an account number hold."""
+    s = raw.replace(" ", "")
+    return 15 <= len(s) <= 34 and s[:2].isalpha() and s[2:4].isdigit() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def is_seed(kind: str, raw: str) -> bool:
+    """A mention of a further kind whose form alone is strict enough to learn patterns from."""
+    if kind == "account":
+        return _iban(raw)
+    return kind == "secret" and len(raw) >= LONG_SECRET and len(set(raw)) >= VARIED
+
+
+class _Taken:
+    """Whether a span touches one of a list, by the list's order of starts."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = sorted((s, e) for _, s, e in spans)
+        self.ends = list(accumulate((e for _, e in self.spans), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        at = bisect_left(self.spans, (end,))
+        return at > 0 and self.ends[at - 1] > start
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
-    """Looser spans that touch no base span."""
+    """Spans of looser forms, and of the further kinds, that touch no base span."""
     out: list[Span] = []
-    for kind, (form, digits) in LOOSE.items():
-        if not (("@" in text or "at)" in text or "at]" in text) if kind == "email" else _DIGIT.search(text)):
+    taken = _Taken(base)
+    digits = _DIGIT.search(text) is not None
+    for kind, (form, allowed) in LOOSE.items():
+        if not (("@" in text or "at)" in text or "at]" in text) if kind == "email" else digits):
             continue
         for m in form.finditer(text):
-            n = sum(c.isdigit() for c in m[0])
-            if (digits is None or digits[0] <= n <= digits[1]) and not any(s < m.end() and m.start() < e for _, s, e in base):
+            n = sum(map(m[0].count, "0123456789"))
+            if kind == "secret" and not any(c.isalpha() for c in m[0]):
+                continue
+            if (allowed is None or allowed[0] <= n <= allowed[1]) and not taken.touches(m.start(), m.end()):
                 out.append((kind, m.start(), m.end()))
     return out
 
 
 def _plain(word: str) -> str:
-    return word.lower().strip(_EDGE)
+    return word.lower().strip(_EDGE) or word
 
 
 def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:7], "little")
-
-
-def _two(before: int, last: int) -> int:
-    return (before * 1_000_003 + last * 31 + 7) % (1 << 62)
-
-
-def contexts(text: str, start: int) -> list[int]:
-    """Keys of the patterns that a mention stands in: the last word before it, and the last two."""
-    left = text[max(0, start - 200) : start].split()
-    if start > 200:
-        left = left[1:]  # may be cut
-    left = [w for w in map(_plain, left[-2:])]
-    out = []
-    if left and left[-1]:
-        out.append(_hash(left[-1]))
-        if len(left) > 1 and left[-2]:
-            out.append(_two(_hash(left[-2]), out[0]))
-    return out
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:7], "little") + 1
+
+
+_MASK = (1 << 62) - 1
+
+
+def _keys(two, one, after):
+    """Keys of the patterns of words, for numbers or arrays: the word before, two words before, the word after, one on each side."""
+    return ((one * 3 + 1) & _MASK, (two * 1_000_003 + one * 31 + 7) & _MASK, (after * 5 + 2) & _MASK, (one * 998_244_353 + after * 17 + 3) & _MASK)
+
+
+def _before(text: str, at: int) -> tuple[str, int]:
+    """The word that ends at or before a position, and its start; marks that touch the position are skipped."""
+    first = True
+    while at > 0:
+        end = at
+        while end > 0 and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start > 0 and not text[start - 1].isspace():
+            start -= 1
+        word = text[start:end]
+        if word and not (first and end == at and not word.strip(_EDGE)):
+            return word, start
+        first, at = False, start
+    return "", 0
+
+
+def _after(text: str, at: int) -> str:
+    """The word that begins after a position; the rest of the word at the position is skipped if it is marks only."""
+    end = at
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    if text[at:end].strip(_EDGE):
+        return text[at:end]
+    while end < len(text) and text[end].isspace():
+        end += 1
+    start = end
+    while end < len(text) and not text[end].isspace():
+        end += 1
+    return text[start:end]
+
+
+def contexts(text: str, start: int, stop: int) -> list[int]:
+    """Keys of the patterns that a mention stands in."""
+    one, at = _before(text, start)
+    two = _before(text, at)[0] if one and at else ""
+    after = _after(text, stop)
+    h = [_hash(_plain(w)) if w else 0 for w in (two, one, after)]
+    there = (one, two, after, one and after)
+    return [k for k, w in zip(_keys(*h), there, strict=True) if w]
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """text -> one row per mention and pattern: text_key, kind, start, stop, seed, ident, pattern."""
+    """text -> one row per mention and pattern: text_key, kind, start, stop, known (a base span), seed, ident, pattern."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,14 +203,15 @@ def mentions(docs: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 base = base_spans(text)
-                for seed, spans in ((True, base), (False, candidates(text, base))):
+                for known, spans in ((True, base), (False, candidates(text, base))):
                     for kind, s, e in spans:
                         ident = "".join(c for c in text[s:e].lower() if c.isalnum() or c in "@.")
-                        rows += [(key, kind, s, e, seed, ident, p) for p in contexts(text, s)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names)
+                        seed = known or is_seed(kind, text[s:e])
+                        rows += [(key, kind, s, e, known, seed, ident, p) for p in contexts(text, s, e)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names)
 
-    names = ["text_key", "kind", "start", "stop", "seed", "ident", "pattern"]
-    return docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(find, "text_key string, kind string, start long, stop long, seed boolean, ident string, pattern long")
+    names = ["text_key", "kind", "start", "stop", "known", "seed", "ident", "pattern"]
+    return docs.select("text", text_key(F.col("text")).alias("text_key")).mapInArrow(find, "text_key string, kind string, start long, stop long, known boolean, seed boolean, ident string, pattern long")
 
 
 def text_key(text: Column) -> Column:
@@ -154,19 +226,15 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        cache: Cache = Cache(lambda w: _hash(p) if (p := _plain(w)) else 0)
+        cache: Cache = Cache(lambda w: _hash(_plain(w)))
         n: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                before = 0
-                for w in text.split() if text else ():
-                    h = cache[w]
-                    if h:
-                        if wanted[h % SLOTS]:
-                            n[h] += 1
-                        if before and wanted[(t := _two(before, h)) % SLOTS]:
-                            n[t] += 1
-                    before = h
+                words = text.split() if text else []
+                h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                keys = (_keys(h, h, h)[0], _keys(h[:-1], h[1:], h[1:])[1], _keys(h, h, h)[2], _keys(h[:-2], h[:-2], h[2:])[3])
+                found = np.concatenate([k[wanted[k & np.uint64(SLOTS - 1)]] for k in keys])
+                n.update(found.tolist())
                 if len(n) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["pattern", "n"])
                     n.clear()
@@ -179,7 +247,7 @@ def discover(docs: DataFrame) -> DataFrame | None:
     """text_key -> extra spans (array of kind, start, stop) found by confident patterns; None if there are none."""
     ready(docs.sparkSession)
     found = materialise(mentions(docs), "pii-mentions")
-    loose = found.where(~F.col("seed"))
+    loose = found.where(~F.col("known"))
     if loose.isEmpty():
         return None
     support = found.where("seed").groupBy("kind", "pattern").agg(F.countDistinct("ident").alias("seeds")).where(F.col("seeds") >= SEEDS)
@@ -198,9 +266,11 @@ def discover(docs: DataFrame) -> DataFrame | None:
         confidence = materialise(confidence, "pii-patterns")
         doubt = F.exp(F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.999))) * F.least("n", F.lit(3))))
         scores = materialise(edges.join(confidence, ["kind", "pattern"]).groupBy("kind", "ident").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(F.lit(1.0) - doubt).alias("score")), "pii-scores")
+    release(support, edges)
     good = confidence.where(F.col("confidence") >= CONFIDENT).select("kind", "pattern")
     extra = loose.join(good, ["kind", "pattern"]).groupBy("text_key").agg(F.collect_set(F.struct("kind", "start", "stop")).alias("extra"))
     extra = materialise(extra, "pii-extra")
+    release(found, confidence, scores)
     return None if extra.isEmpty() else extra
 
 
@@ -219,10 +289,10 @@ def with_extra(docs: DataFrame) -> DataFrame:
 def all_spans(base: list[Span], extra) -> list[Span]:
     """Base spans and those extra ones that touch no other, by start, kind, end."""
     out = list(base)
-    for x in sorted(extra if extra is not None else (), key=lambda x: (-(x["stop"] - x["start"]), x["start"], KINDS.index(x["kind"]))):
+    for x in sorted(extra if extra is not None else (), key=lambda x: (-(x["stop"] - x["start"]), x["start"], ALL.index(x["kind"]))):
         if not any(s < x["stop"] and x["start"] < e for _, s, e in out):
             out.append((x["kind"], int(x["start"]), int(x["stop"])))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return sorted(out, key=lambda s: (s[1], ALL.index(s[0]), s[2]))
 
 
 def _joined(spans: list[Span]) -> str:
@@ -230,22 +300,23 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, counts and digest of the base spans, all spans."""
+    """doc_id, text -> doc_id, counts and digest of the base spans, all spans, and how many of these the patterns added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text, extra in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 base = base_spans(text)
                 n = Counter(k for k, _, _ in base)
-                for c, x in zip(cols, (*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(all_spans(base, extra))), strict=True):
+                spans = all_spans(base, extra)
+                for c, x in zip(cols, (*(n[k] for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans) - len(base)), strict=True):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:6]), pa.array(cols[6], pa.int64())], names)
 
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_extra(docs.select("doc_id", "text")).select("doc_id", "text", "_extra")
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
