@@ -6,6 +6,8 @@ _EDGE = b".,;:!?*$#%&\"'()[]{}<>|/\\-_=+~`^@"
 PREFIXES = (4, 5, 6)
 #: Entries of a worker's cache of word -> features.
 CACHE = 100_000
+#: Caches that outlive a task of a worker.
+KEPT: dict = {}
 
 
 def word_features(word: bytes) -> tuple[bytes, ...]:
@@ -20,10 +22,13 @@ def word_features(word: bytes) -> tuple[bytes, ...]:
 
 class Cache(dict):
     """word -> make(word) of the last `most` to 2 * `most` words seen: when full, its words become the old generation, from which those
-    that are met again return. So frequent words stay and its size is bounded."""
+    that are met again return. So frequent words stay and its size is bounded. A cache lives as long as its task, unless it is put into
+    KEPT; another operator's task in the same worker empties that."""
 
-    def __init__(self, make, most: int = CACHE):
+    def __init__(self, make, most: int = CACHE, kept: bool = False):
         super().__init__()
+        if not kept:
+            KEPT.clear()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):

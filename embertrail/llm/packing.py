@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ready, spread, table
-from .features import Cache
+from .features import KEPT, Cache
 
 CAPACITY, END = 4096, 1
 #: Pieces in a part, and rounds of exchange.
@@ -46,18 +46,19 @@ _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+
 #: Byte-level vocabularies write a byte as the character of its number where that is visible, the others as those from 256 on, in turn.
 _VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-_WORKER: dict[str, Cache] = {}
+#: Words that a worker keeps the ids of.
+KEPT_WORDS = 400_000
 
 
-def word_ids(path: str) -> Cache:
+def word_ids(path: str, words: int = KEPT_WORDS) -> Cache:
     """word (bytes) -> its ids as little-endian unsigned 32-bit integers. A worker keeps its cache from task to task. Words of printable
     ASCII and accented Latin letters go to the tokenizer's model by pieces, which are cached too; all others, and special tokens, take the tokenizer's whole way."""
-    if path not in _WORKER:
+    if (path, words) not in KEPT:
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
         model = whole.model
-        pieces = Cache(lambda p: np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes(), 100_000)
+        pieces = Cache(lambda p: np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes(), words // 4, kept=True)
 
         def make(w: bytes) -> bytes:
             text = w.decode(errors="replace")
@@ -65,8 +66,8 @@ def word_ids(path: str) -> Cache:
                 return b"".join([pieces[p] for p in _PIECES.findall(text.lower())])
             return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _WORKER[path] = Cache(make, 400_000)
-    return _WORKER[path]
+        KEPT[path, words] = Cache(make, words, kept=True)
+    return KEPT[path, words]
 
 
 def lower_bound(lengths: np.ndarray, n: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -113,12 +114,12 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: tuple[str, ...] = ("doc_id",), words: int = KEPT_WORDS) -> DataFrame:
     """keep columns and text -> one row per piece: keep columns, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_ids(path)
+        cache = word_ids(path, words)
         for b in batches:
             owner, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b.column(len(keep)).to_pylist()):
