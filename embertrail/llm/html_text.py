@@ -1,11 +1,17 @@
 """Main-text extraction by tag-path ratios.
 
 A page's text nodes are grouped by their root-to-leaf tag path (tags with their classes). For each path, text length and punctuation per
-node are aggregated, both are smoothed over neighbouring paths in page order with a Gaussian, and fused by their product; paths at or
-above a share of the fused spread are content paths. The content root is an <article> or <main> that holds nearly all the weight of the content
-paths, else the deepest container that holds all their weight and every heading outside marked parts. What the root holds is the main text, but for parts marked as menus, notices, adverts, forms, comments and so on, and
-paths of mostly link text. A name, a role or <form> marks nothing that holds most of the content weight, <main> or the page's only
-<article>: that is a wrapper of the page. Smaller parts with such names go, whatever their weight. So short paragraphs and headings of the article stay.
+node are aggregated, both are smoothed over neighbouring paths in page order with a Gaussian, and fused by their product; tags, roles and
+names that speak of menus, notices, adverts, forms, comments and so on lower the value of what they hold. Nodes whose value reaches a share
+of the values' spread are content. What else is text of the article follows from where the content nodes are:
+
+* the root is the least element that holds them all, or the <article> or <main> around it;
+* inside the root, unmarked nodes between content nodes stay, so do unmarked ones at its ends unless their path is mostly link text;
+* where only the page's body holds them all, nodes between content nodes stay if no further container stands around them;
+* headings that stand right before the root, or before an element around it, stay.
+
+A name, a role or <form> marks nothing that holds most of the content weight, <main> or the page's only <article>: that is a wrapper of the
+page. A <header> marks nothing inside an article, a <button> nothing inside a paragraph.
 
 Blocks: block elements part texts, inline elements do not, <br> is white space. Character references are decoded, white space (any
 Unicode) becomes one space, blocks are trimmed, empty ones go, the rest is joined by one newline.
@@ -39,14 +45,19 @@ CLOSES_P = BLOCK - {"option", "select", "tbody", "td", "th", "thead", "tfoot", "
 #: What an opening tag ends, up to the given ancestors.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 # Parts of a page that are not its article.
-APART = frozenset("nav header footer aside form dialog button select menu search head svg math object audio video canvas datalist".split())
+APART = frozenset("nav header footer aside form dialog button select menu search head svg object audio video canvas datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note status".split())
-WORDS = frozenset("ad ads adv nav navbar side aside alert pager legal login tags tool tools popup modal dialog overlay copyright form replies reply byline meta".split())
+WORDS = frozenset("ad ads adv nav navbar side aside alert pager legal login tags tool tools popup modal dialog overlay copyright form replies reply".split())
 STARTS = ("advert", "sponsor", "promo", "banner", "sidebar", "menu", "header", "footer", "masthead", "navig", "breadcrumb", "pagina", "comment", "disqus", "cookie", "consent", "gdpr", "notice", "notif", "newsletter", "subscri", "signup", "share", "sharing", "social", "related", "recommend", "widget", "disclaimer", "outbrain", "taboola", "toolbar", "skip", "hidden")
+#: What may stand beside such a word in one name; any other word makes it a name of something else, such as share-price.
+BESIDE = frozenset("area bar block body bottom box btn button buttons banner center column container content count div feed footer form group header icon icons id inner item items js left line link links list main message msg module nav outer page pane panel policy post posts primary right row section site slot text title top unit wrap wrapper holder secondary thread widget bottombar topbar menu".split())
 _PUNCT = frozenset(".,;:!?\"'()…—–،。，、！？：；«»„“”")
-SIGMA, SPREAD, NEARLY, LINKS = 1.0, 0.2, 0.8, 0.6
+SIGMA, SPREAD, LINKS = 1.0, 0.5, 0.6
 #: How an element is marked: not, by what may also name a wrapper of the page, or for sure.
 CLEAR, NAMED, SURE = 0, 1, 2
+#: What a mark leaves of a value.
+LOWERED = (1.0, 0.02, 0.0)
+_PROSE = frozenset("p li td dd blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 #: Elements nested deeper stand beside each other, as in browsers; their text stays.
 DEEPEST = 512
 
@@ -54,16 +65,18 @@ DEEPEST = 512
 class _Node:
     """An element. path: a number for its root-to-leaf tag path; apart: how it is marked as not the article's; shut: the strongest mark on it or an element that holds it."""
 
-    __slots__ = ("tag", "up", "path", "apart", "shut", "link", "weight", "held", "kids", "heads", "block", "kept", "depth")
+    __slots__ = ("tag", "up", "path", "apart", "shut", "link", "held", "kids", "block", "depth", "told")
 
     def __init__(self, tag: str, up: _Node | None, path: int, apart: int):
         self.tag, self.up, self.path = tag, up, path
-        # html, body, main and article are never marked by a name
-        self.apart = CLEAR if tag in ("html", "body", "main", "article") else apart
+        # an element of the article's own: its header, a button in a sentence
+        self.told = bool(up and (up.told or up.tag in ("article", "section", "main")))
+        own = tag in ("html", "body", "main", "article") or (tag == "header" and self.told) or (tag == "button" and up.block.tag in _PROSE)
+        self.apart = CLEAR if own else apart
         self.shut = max(self.apart, up.shut) if up else self.apart
         self.link = tag == "a" or bool(up and up.link)
         self.depth = up.depth + 1 if up else 0
-        self.held, self.weight, self.kids, self.heads, self.kept = 0, 0, [], 0, False
+        self.held, self.kids = 0, []
         self.block = self if tag in BLOCK or up is None else up.block
 
 
@@ -74,8 +87,12 @@ def _marked(tag: str, attrs: dict[str, str]) -> int:
         return SURE
     if tag == "form" or attrs.get("role", "").lower() in ROLES:
         return NAMED
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    return NAMED if any(w in WORDS or w.startswith(STARTS) for w in re.split(r"[^a-z0-9]+", named) if w) else CLEAR
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        telling = [w in WORDS or w.startswith(STARTS) for w in words]
+        if any(telling) and all(x or w in BESIDE or w.isdigit() for x, w in zip(telling, words, strict=True)):
+            return NAMED
+    return CLEAR
 
 
 def _clear_wrappers(nodes: list[_Node], own: list[tuple[_Node, str]], content: set[int]) -> None:
@@ -186,44 +203,20 @@ def extract(page: str | None) -> str:
         return [sum(kernel[d] * x[i + d] for d in reach if 0 <= i + d < len(x)) / sum(kernel[d] for d in reach if 0 <= i + d < len(x)) for i in range(len(x))]
 
     length, marks = [r[1] / r[0] for r in rows], [r[2] / r[0] for r in rows]
-    fused = [(a + s) / 2 * (1 + (b + u) / 2) * (1 - r[3] / r[1]) for a, s, b, u, r in zip(length, smooth(length), marks, smooth(marks), rows, strict=True)]
+    fused = [math.sqrt(a * s * (1 + b) * (1 + u)) * (1 - r[3] / r[1]) for a, s, b, u, r in zip(length, smooth(length), marks, smooth(marks), rows, strict=True)]
     mean = sum(fused) / len(fused)
     least = SPREAD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    content = {p for p, f in zip(paths, fused, strict=True) if f >= least and f > 0}
-    linked = {p for p, r in paths.items() if r[3] > LINKS * r[1]}
-    _clear_wrappers(nodes, own, content)
-    for n, t in own:
-        if not n.shut:
-            n.weight += len(t.strip()) if n.path in content else 0
-            n.heads += n.block.tag in HEADING
-    for n in reversed(nodes[1:]):
-        n.up.weight += n.weight
-        n.up.heads += n.heads
-    whole = set()  # what leads to an article that nearly all is in
-    for n in nodes:
-        if n.tag in ("article", "main") and not n.shut and n.weight >= NEARLY * root.weight:
-            x = n
-            while x is not None and x not in whole:
-                whole.add(x)
-                x = x.up
-    if root.weight == 0:  # nothing but marked parts
+    value = dict(zip(paths, fused, strict=True))
+    _clear_wrappers(nodes, own, {p for p, f in value.items() if f >= least and f > 0})
+    chosen = [(i, n) for i, (n, t) in enumerate(texts) if t.strip() and (v := value[n.path] * LOWERED[n.shut]) >= least and v > 0]
+    if not chosen:  # nothing but marked parts
         return ""
-    top = root
-    while top.tag not in ("article", "main"):
-        best = max((k for k in top.kids if k.tag in CONTAINER or k.block is not k or k.tag in ("blockquote", "dd", "li")), key=lambda k: k.weight, default=None)
-        if best is None or best.shut or (best.weight < top.weight and best not in whole):
-            break
-        if best.heads < top.heads and best.tag not in ("article", "main") and (best not in whole or top.tag not in ("", "html", "body")):
-            break
-        top = best
-    top.kept = True
-    for n in nodes[1:]:
-        n.kept = n.kept or (n.up.kept and not n.apart)
+    kept = _kept(texts, chosen, {p for p, r in paths.items() if r[3] > LINKS * r[1]})
     blocks: list[str] = []
     run: list[str] = []
     last: _Node | None = None
-    for n, t in texts:
-        if not n.kept or (n.path in linked and n.path not in content and _list_of_links(n)):
+    for i, (n, t) in enumerate(texts):
+        if i not in kept:
             continue
         if n.block is not last and run:
             blocks.append(" ".join("".join(run).split()))
@@ -234,14 +227,86 @@ def extract(page: str | None) -> str:
     return "\n".join(b for b in blocks if b)
 
 
-def _list_of_links(n: _Node) -> bool:
-    """Links in a list are a menu; links in running text belong to it."""
-    x: _Node | None = n
-    while x is not None and x.tag not in ("p", "blockquote", *HEADING):
-        if x.tag in ("li", "ul", "ol", "td"):
-            return True
+def _meet(a: _Node, b: _Node) -> _Node:
+    """The least element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a
+
+
+def _clear_below(n: _Node, top: _Node, plain: bool = False) -> bool:
+    """No mark, and (plain) no container, stands between an element and one that holds it."""
+    while n is not top:
+        if n is None or n.apart or (plain and n.tag in CONTAINER):
+            return False
+        n = n.up
+    return True
+
+
+def _kept(texts: list[tuple[_Node, str]], chosen: list[tuple[int, _Node]], linked: set[int]) -> set[int]:
+    """The texts that belong to the article, by number, from those that are content."""
+    root = chosen[0][1]
+    for _, n in chosen[1:]:
+        root = _meet(root, n)
+    x = root
+    while x is not None and x.tag not in ("article", "main"):
         x = x.up
-    return False
+    if x is None:
+        x = root.block
+        while x.up and x.tag not in CONTAINER:
+            x = x.up
+    root = x
+    whole = root.tag in ("", "html", "body")
+    kept = {i for i, _ in chosen}
+    ends = iter([*chosen, (len(texts), None)])
+    before: _Node | None = None
+    at, after = next(ends)
+    for i, (n, _) in enumerate(texts):
+        if i == at:
+            before, (at, after) = n, next(ends)
+            continue
+        between = before is not None and after is not None
+        if whole:
+            if between and _within(n, top := _meet(before, after)) and _clear_below(n, top, top.tag in ("", "html", "body")):
+                kept.add(i)
+        elif _within(n, root) and (between or n.path not in linked) and _clear_below(n, root):
+            kept.add(i)
+    return kept | _headings(texts, root, chosen[0][1])
+
+
+def _within(n: _Node, top: _Node) -> bool:
+    while n.depth > top.depth:
+        n = n.up
+    return n is top
+
+
+def _headings(texts: list[tuple[_Node, str]], root: _Node, first: _Node) -> set[int]:
+    """Texts of unmarked headings right before the root, or before elements around it or, if the root is the page, before what holds the first content."""
+    x = root
+    if root.tag in ("", "html", "body"):
+        x = first
+        while x.up is not None and x.up is not root:
+            x = x.up
+    found: set[_Node] = set()
+    while x.up is not None:
+        beside = x.up.kids[: x.up.kids.index(x)]
+        while beside and beside[-1].tag in (*HEADING, "hgroup") and not beside[-1].shut:
+            found.add(beside.pop())
+        if beside:
+            break
+        x = x.up
+
+    def inside(n: _Node | None) -> bool:
+        while n is not None:
+            if n in found:
+                return True
+            n = n.up
+        return False
+
+    return {i for i, (n, _) in enumerate(texts) if inside(n)} if found else set()
 
 
 def main_text(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
