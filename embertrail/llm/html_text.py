@@ -7,7 +7,7 @@ of the values' spread are content. What else is text of the article follows from
 
 * the root is the least element that holds them all, or the <article> or <main> around it;
 * inside the root, unmarked nodes between content nodes stay, so do unmarked ones at its ends unless their path is mostly link text;
-* where only the page's body holds them all, nodes between content nodes stay if no further container stands around them;
+* where only the page's body holds them all, nodes between content nodes stay if they share a container with one of these;
 * headings that stand right before the root, or before an element around it, stay.
 
 A name, a role or <form> marks nothing that holds most of the content weight, <main> or the page's only <article>: that is a wrapper of the
@@ -52,7 +52,7 @@ STARTS = ("advert", "sponsor", "promo", "banner", "sidebar", "menu", "header", "
 #: What may stand beside such a word in one name; any other word makes it a name of something else, such as share-price.
 BESIDE = frozenset("area bar block body bottom box btn button buttons banner center column container content count div feed footer form group header icon icons id inner item items js left line link links list main message msg module nav outer page pane panel policy post posts primary right row section site slot text title top unit wrap wrapper holder secondary thread widget bottombar topbar menu".split())
 _PUNCT = frozenset(".,;:!?\"'()…—–،。，、！？：；«»„“”")
-SIGMA, SPREAD, LINKS = 1.0, 0.5, 0.6
+SIGMA, SPREAD, LINKS = 1.0, 0.8, 0.6
 #: How an element is marked: not, by what may also name a wrapper of the page, or for sure.
 CLEAR, NAMED, SURE = 0, 1, 2
 #: What a mark leaves of a value.
@@ -96,7 +96,7 @@ def _marked(tag: str, attrs: dict[str, str]) -> int:
 
 
 def _clear_wrappers(nodes: list[_Node], own: list[tuple[_Node, str]], content: set[int]) -> None:
-    """Unmarks what is only marked by name and holds most of the content weight, <main> or the page's only <article>."""
+    """Unmarks what is only marked by name and holds <main> or the page's only <article>, or on pages without these most of the content weight."""
     for n, t in own:
         if n.shut < SURE and n.path in content:
             n.held += len(t.strip())
@@ -109,7 +109,7 @@ def _clear_wrappers(nodes: list[_Node], own: list[tuple[_Node, str]], content: s
             around.add(x)
             x = x.up
     for n in nodes[1:]:
-        if n.apart == NAMED and (n in around or 2 * n.held > nodes[0].held):
+        if n.apart == NAMED and (n in around or (not around and 2 * n.held > nodes[0].held)):
             n.apart = CLEAR
         n.shut = max(n.apart, n.up.shut)
 
@@ -204,11 +204,14 @@ def extract(page: str | None) -> str:
 
     length, marks = [r[1] / r[0] for r in rows], [r[2] / r[0] for r in rows]
     fused = [math.sqrt(a * s * (1 + b) * (1 + u)) * (1 - r[3] / r[1]) for a, s, b, u, r in zip(length, smooth(length), marks, smooth(marks), rows, strict=True)]
-    mean = sum(fused) / len(fused)
-    least = SPREAD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     value = dict(zip(paths, fused, strict=True))
-    _clear_wrappers(nodes, own, {p for p, f in value.items() if f >= least and f > 0})
-    chosen = [(i, n) for i, (n, t) in enumerate(texts) if t.strip() and (v := value[n.path] * LOWERED[n.shut]) >= least and v > 0]
+    bar = _bar(fused)
+    _clear_wrappers(nodes, own, {p for p, f in value.items() if f >= bar and f > 0})
+    left: dict[int, float] = {}
+    for n, _ in own:
+        left[n.path] = max(left.get(n.path, 0.0), value[n.path] * LOWERED[n.shut])
+    bar = _bar(list(left.values()))
+    chosen = [(i, n) for i, (n, t) in enumerate(texts) if t.strip() and (v := value[n.path] * LOWERED[n.shut]) >= bar and v > 0]
     if not chosen:  # nothing but marked parts
         return ""
     kept = _kept(texts, chosen, {p for p, r in paths.items() if r[3] > LINKS * r[1]})
@@ -227,6 +230,12 @@ def extract(page: str | None) -> str:
     return "\n".join(b for b in blocks if b)
 
 
+def _bar(values: list[float]) -> float:
+    """The least value of content: a share of the values' spread."""
+    mean = sum(values) / len(values)
+    return SPREAD * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
 def _meet(a: _Node, b: _Node) -> _Node:
     """The least element that holds both."""
     while a is not b:
@@ -270,8 +279,10 @@ def _kept(texts: list[tuple[_Node, str]], chosen: list[tuple[int, _Node]], linke
             continue
         between = before is not None and after is not None
         if whole:
-            if between and _within(n, top := _meet(before, after)) and _clear_below(n, top, top.tag in ("", "html", "body")):
-                kept.add(i)
+            if between and _within(n, _meet(before, after)):
+                top = max(_meet(n, before), _meet(n, after), key=lambda x: x.depth)
+                if _clear_below(n, top, top.tag in ("", "html", "body")):
+                    kept.add(i)
         elif _within(n, root) and (between or n.path not in linked) and _clear_below(n, root):
             kept.add(i)
     return kept | _headings(texts, root, chosen[0][1])
