@@ -22,10 +22,11 @@ WHERE = {
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f".{module}", __package__), name) for name, module in WHERE.items()}
+def queries(*names: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The named queries, all if none is named."""
+    return {name: getattr(import_module(f".{WHERE[name]}", __package__), name) for name in names or WHERE}
 
 
-def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(import_module(f".{module}", __package__), "ORACLE", None) for name, module in WHERE.items()}
+def oracle_sql(*names: str) -> dict[str, str]:
+    found = {name: getattr(import_module(f".{WHERE[name]}", __package__), "ORACLE", None) for name in names or WHERE}
     return {name: sql for name, sql in found.items() if sql}
