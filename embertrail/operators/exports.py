@@ -70,3 +70,20 @@ def kml(points: DataFrame, name: str = "Waypoints") -> DataFrame:
     twice = F.when(F.size(marks) == 1, F.array_repeat(F.array_join(marks, ""), 2)).otherwise(marks)
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n  <Document>\n    <name>{name}</name>\n    <Style id="defaultStyle"><IconStyle><scale>1.1</scale></IconStyle></Style>\n'
     return kml_placemarks(points).agg(F.concat(F.lit(head), F.array_join(twice, ""), F.lit("  </Document>\n</kml>\n")).alias("kml"))
+
+
+def csv_text(points: DataFrame) -> DataFrame:
+    """The lines of a CSV file in order, its header first."""
+    head = points.sparkSession.createDataFrame([(None, ",".join(HEADER))], "object_id long, line string")
+    return head.unionByName(csv_lines(points)).orderBy(F.col("object_id").asc_nulls_first()).select("line")
+
+
+def export_all(animals_: DataFrame, folder: str) -> list[str]:
+    """Writes all waypoints and the selected ones, each as CSV, JSON and KML text, to folders of their own; returns these."""
+    out = []
+    for what, selected in (("all", False), ("selected", True)):
+        points = waypoints(animals_, selected)
+        for kind, text in (("csv", csv_text(points).coalesce(1)), ("json", json_route(points)), ("kml", kml(points))):
+            out.append(f"{folder.rstrip('/')}/{what}-{kind}")
+            text.write.mode("overwrite").text(out[-1])
+    return out

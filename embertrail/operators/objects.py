@@ -109,17 +109,28 @@ def by_leg(objects: DataFrame, column: str) -> DataFrame:
     return objects.where(F.col("significant")).rollup("leg_id").agg(F.count("*").alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.max(column), 6).alias("most"))
 
 
+#: Ids in a bucket of the count of unnamed objects.
+NAME_BUCKET = 4096
+
+
 def names(objects: DataFrame) -> DataFrame:
-    """Significant objects in a leg are named by leg and turn, such as C5; all others #n. The turn is a row number by leg.
+    """Significant objects in a leg are named by leg and turn, such as C5; all others #n, in order of id.
 
-    Turns need an order within each leg; the counter of the others is per leg 0 bucket as a whole, from a two-level count."""
+    Turns are row numbers in each leg. The others have no group, so they are counted in two levels: by bucket of ids, and within a bucket;
+    only the buckets' counts meet in one task."""
     from pyspark.sql import Window
 
     from embertrail.functions.text import id_letters
 
-    named = F.col("significant") & (F.col("leg_id") > 0)
-    turn = F.row_number().over(Window.partitionBy(named, F.when(named, F.col("leg_id"))).orderBy("object_id"))
-    return objects.withColumn("name", F.when(named, F.concat(id_letters(F.col("leg_id")), turn.cast("string"))).otherwise(F.concat(F.lit("#"), turn.cast("string"))))
+    named = F.coalesce(F.col("significant") & (F.col("leg_id") > 0), F.lit(False))
+    marked = objects.withColumn("_named", named).withColumn("_bucket", F.when(named, F.col("leg_id")).otherwise(F.floor(F.col("object_id") / NAME_BUCKET)).cast("long"))
+    turn = F.row_number().over(Window.partitionBy("_named", "_bucket").orderBy("object_id"))
+    counts = marked.where(~F.col("_named")).groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.lit(False).alias("_named"), "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    out = marked.withColumn("_turn", turn).join(starts, ["_named", "_bucket"], "left")
+    name = F.when(F.col("_named"), F.concat(id_letters(F.col("leg_id")), F.col("_turn").cast("string"))).otherwise(F.concat(F.lit("#"), (F.col("_start") + F.col("_turn")).cast("string")))
+    return out.withColumn("name", name).select(*objects.columns, "name")
 
 
 def in_run_scope(from_ms: Column, to_ms: Column, first_ms: Column, last_ms: Column, images: bool = False) -> Column:

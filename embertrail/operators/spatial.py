@@ -48,21 +48,29 @@ def ground(points: DataFrame, dem: DataFrame, north: str, east: str, fallback: s
     return found if fallback is None else found.withColumn("elev_m", F.coalesce("elev_m", fallback))
 
 
+def _first_below(steps: DataFrame, dem: DataFrame, key: str) -> DataFrame:
+    """The first of a ray's steps that is at or below the ground, with the ground there."""
+    at = steps.select(key, "step", (F.col("north") + F.col("d_n") * F.col("step")).alias("p_n"), (F.col("east") + F.col("d_e") * F.col("step")).alias("p_e"), (F.col("altitude") + F.col("d_up") * F.col("step")).alias("p_up"), "north", "east", "altitude", "d_n", "d_e", "d_up")
+    below = ground(at, dem, "p_n", "p_e").where(F.col("p_up") <= F.col("elev_m"))
+    return below.groupBy(key).agg(F.min_by(F.struct("step", "elev_m", "p_up", "north", "east", "altitude", "d_n", "d_e", "d_up"), "step").alias("h")).select(key, "h.*")
+
+
 def raycast(rays: DataFrame, dem: DataFrame, key: str, interpolate: bool = False) -> DataFrame:
     """Rays (key, north, east, altitude, d_n, d_up, d_e; unit directions) -> key, step, hit_n, hit_e, hit_up: the first step of one metre at
     or below the ground within 1000 m.
 
-    Only steps where the ray is between the highest and lowest ground can be the first: these few are generated, joined to the grid by
-    cell, and the least is taken. Cells outside the grid do not stop a ray. By default the refined distance runs on past the first step
-    by the depth below ground, as the original does; interpolate=True goes back instead."""
+    Steps above the highest ground cannot hit, and a ray over the grid has hit by the time it is below the lowest ground: these few steps
+    are generated, joined to the grid by cell, and the least is taken. Cells outside the grid do not stop a ray, so rays without a hit by
+    then, which ran over its edge or a hole, try their later steps. By default the refined distance runs on past the first step by the
+    depth below ground, as the original does; interpolate=True goes back instead."""
     ends = dem.agg(F.min("elev_m").alias("_low"), F.max("elev_m").alias("_high"))
     down = rays.where(F.col("d_up") < -geo.MIN_SLOPE).join(F.broadcast(ends))  # one row
     first = F.greatest(F.ceil((F.col("altitude") - F.col("_high")) / -F.col("d_up")).cast("int"), F.lit(0))
-    last = F.least(F.ceil((F.col("altitude") - F.col("_low")) / -F.col("d_up")).cast("int"), F.lit(geo.RAY_STEPS - 1))
-    steps = down.where(first <= last).withColumn("step", F.explode(F.sequence(first, last)))
-    at = steps.select(key, "step", (F.col("north") + F.col("d_n") * F.col("step")).alias("p_n"), (F.col("east") + F.col("d_e") * F.col("step")).alias("p_e"), (F.col("altitude") + F.col("d_up") * F.col("step")).alias("p_up"), "north", "east", "altitude", "d_n", "d_e", "d_up")
-    below = ground(at, dem, "p_n", "p_e").where(F.col("p_up") <= F.col("elev_m"))
-    hit = below.groupBy(key).agg(F.min_by(F.struct("step", "elev_m", "p_up", "north", "east", "altitude", "d_n", "d_e", "d_up"), "step").alias("h")).select(key, "h.*")
+    low = F.least(F.ceil((F.col("altitude") - F.col("_low")) / -F.col("d_up")).cast("int"), F.lit(geo.RAY_STEPS - 1))
+    hit = _first_below(down.where(first <= low).withColumn("step", F.explode(F.sequence(first, low))), dem, key)
+    later = F.greatest(first, low + 1)
+    rest = down.join(hit.select(key), key, "left_anti").where(later <= geo.RAY_STEPS - 1)
+    hit = hit.unionByName(_first_below(rest.withColumn("step", F.explode(F.sequence(later, F.lit(geo.RAY_STEPS - 1)))), dem, key))
     depth = (F.col("elev_m") - F.col("p_up")) / -F.col("d_up")
     t = F.col("step") - depth if interpolate else F.col("step") + depth
     return hit.select(key, "step", (F.col("north") + F.col("d_n") * t).alias("hit_n"), (F.col("east") + F.col("d_e") * t).alias("hit_e"), (F.col("altitude") + F.col("d_up") * t).alias("hit_up"))

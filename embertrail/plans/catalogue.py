@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from embertrail.plans import q_frames, q_objects, q_space, q_telemetry
+from embertrail.plans import q_frames, q_legs, q_objects, q_space, q_telemetry
 
-ALL = q_objects.QUERIES | q_frames.QUERIES | q_telemetry.QUERIES | q_space.QUERIES
+ALL = q_objects.QUERIES | q_frames.QUERIES | q_telemetry.QUERIES | q_space.QUERIES | q_legs.QUERIES
 
 
 def queries():

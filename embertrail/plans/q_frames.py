@@ -92,6 +92,10 @@ def _union(s, d):
     return fr.union_features(f.where("type = 'Real'"), f.where("type = 'Unreal'")).groupBy("type").agg(F.count("*").alias("n"))
 
 
+FIXES = sql("select span, fix as fix_m, round(best, 4) as sum_err from r where k = -91", "v_feature", more="""e as materialized (select leg_id as span, k, round(sum(abs(loc_err + (k - leg_id) * 0.3e0)), 4) as s from (select leg_id, loc_err from obj where significant and leg_id > 0), (select unnest(generate_series(-90, 90)) as k) group by leg_id, k),
+r as (select distinct span, cast(90 as bigint) as k, 0e0 as fix, cast('inf' as double) as best from e
+  union all select r.span, r.k - 1, case when r.best - e.s >= 0.1e0 then cast(e.k as double) else r.fix end, case when r.best - e.s >= 0.1e0 then e.s else r.best end from r join e on e.span = r.span and e.k = r.k)""").replace("with ", "with recursive ", 1)
+
 QUERIES = {
     "run_ranges": (_ranges, f"with {ctes('v_block')} select flight_id, count(*) as n, min(ms) as first, max(ms) as last from v_block where ms between 0 and 500000000 or ms between 1000000000 and 1500000000 group by flight_id"),
     "progress": (_progress, "select percent, count(*) as n, round(sum(case when sh > 0.01 then c / 10e0 / sh - c / 10e0 end), 3) as seconds_left from (select *, least(100, cast(trunc(sh * 100) as int)) as percent from (select o_orderkey % 1000 as c, (o_orderkey % 1000) / 900e0 as sh from orders)) group by percent"),
@@ -101,7 +105,7 @@ QUERIES = {
     "optical_crops": (_crop, CROP),
     "body_rays": (_body, sql("select feature_id, round(a11 * x + a21 * y + a31 * z, 6) + 0e0 as d_x, round(a12 * x + a22 * y + a32 * z, 6) + 0e0 as d_y, round(a13 * x + a23 * y + a33 * z, 6) + 0e0 as d_z from k", "v_feature", obj=False, more=BODY)),
     "los_confidence": (_confidence, sql("select feature_id, round(1 / (1 + (sqrt(1 + box_x / 10e0 * box_x / 10e0) + sqrt(4 + box_x / 5e0 * box_x / 5e0)) / 2), 6) as confidence from v_feature where num_hot >= 8", "v_feature", obj=False)),
-    "altitude_fixes": (_fixes, None),
+    "altitude_fixes": (_fixes, FIXES),
     "fixed_steps": (_fixed, f"with {ctes('v_step')} select flight_id, step_id, altitude_m + case when flight_id < 60 and step_id between 3 and 9 then flight_id % 4 else 0 end as altitude_m from v_step"),
     "first_matching_run": (_run, f"with {ctes('v_block')}, m as (select *, value > 30 as k from v_block), n as (select *, case when k and not coalesce(lag(k) over (partition by flight_id order by block_id), false) then 1 else 0 end as b from m), r as (select *, sum(b) over (partition by flight_id order by block_id) as run from n) select flight_id, min(block_id) as first, max(block_id) as last from r where k and run = 1 group by flight_id"),
     "mean_of_ends": (_ends, sql("select object_id, round(coalesce((a + b) / 2, a, b), 6) as mean from (select object_id, arg_min(northing_m, feature_id) as a, arg_max_null(height_m, feature_id) as b from v_feature group by object_id)", "v_feature", obj=False)),

@@ -87,13 +87,29 @@ ANI = dict(more=CAT + ",\n" + ANIMALS)
 POINT = "select object_id, latitude, longitude, 100 as altitude, 5 as speed, true as picture, 90 as tilt, 2 as wait from ani where latitude is not null"
 
 
+def _rounded(s, d, form):
+    """Waypoints in whole 1/1024 degrees: the text of these is the same in both engines."""
+    p = exports.waypoints(_animals(s, d))
+    return form(p.withColumns({c: F.floor(F.col(c) * 1024) / 1024 for c in ("latitude", "longitude")}))
+
+
+SHORT = "select object_id, floor(latitude * 1024) / 1024 as latitude, floor(longitude * 1024) / 1024 as longitude from ani where latitude is not null"
+
+
 def _hist(column, lowest=0, bin_=None):
     return lambda s, d: ob.histogram(objs(s, d).where("significant"), bin_() if bin_ else F.col(column), lowest=lowest)
 
 
-def _hist_sql(bin_: str, low: str = "0") -> str:
+def _heat(s, d):
+    """Heat above the least of the list."""
+    o = objs(s, d)
+    low = o.agg(F.min("avg_heat").alias("_low"))
+    return ob.histogram(o.where("significant").join(F.broadcast(low)), F.col("avg_heat") - F.col("_low"))  # one row
+
+
+def _hist_sql(bin_: str, low: str = "0", views: tuple[str, ...] = ("v_feature",), more: str = "", rows: str = "obj") -> str:
     return sql(f"""select g.bin, cast(coalesce(n, 0) as bigint) as n from (select unnest(generate_series(cast({low} as bigint), b)) as bin from (select min(bin) as a, max(bin) as b from h) where b is not null) g left join (select bin, count(*) as n from h group by bin) c on c.bin = g.bin""",
-               "v_feature", more=f"h as (select * from (select cast({bin_} as bigint) as bin from obj where significant) where bin is not null {'and bin >= 0' if low == '0' else ''})")
+               *views, more=f"{more}h as (select * from (select cast({bin_} as bigint) as bin from {rows} where significant) where bin is not null {'and bin >= 0' if low == '0' else ''})")
 
 
 def _leg(column):
@@ -229,9 +245,8 @@ QUERIES = {
     "ever_significant": (lambda s, d: objs(s, d, False).agg(F.count_if(F.col("significant") & (F.col("units") >= 1)).alias("ever"), F.sum("n_real").alias("real_features")), sql("select count(case when significant and units >= 1 then 1 end) as ever, cast(sum(n_real) as bigint) as real_features from obj", "v_feature")),
     "histogram_height": (_hist("height", bin_=lambda: F.bround(F.col("height"))), _hist_sql("round_even(height, 0)")),
     "histogram_size": (_hist("size_cm2", bin_=lambda: (F.col("size_cm2") / 1000).cast("long") + 1), _hist_sql("trunc(size_cm2 / 1000e0) + 1")),
-    "histogram_heat": (_hist("avg_heat", lowest=None), _hist_sql("avg_heat", "a")),
-    "histogram_range": (_hist("range", bin_=lambda: F.sqrt(F.col("loc_n") * F.col("loc_n") + F.col("loc_e") * F.col("loc_e")).cast("long")), _hist_sql("trunc(sqrt(loc_n * loc_n + loc_e * loc_e))")),
-    "class_counts_size": (_counts("size_class", classes.SIZE_NAMES), _counts_sql("size_class", classes.SIZE_NAMES)),
+    "histogram_heat": (_heat, _hist_sql("avg_heat - (select min(avg_heat) from obj)")),
+        "class_counts_size": (_counts("size_class", classes.SIZE_NAMES), _counts_sql("size_class", classes.SIZE_NAMES)),
     "class_counts_height": (_counts("height_class", classes.HEIGHT_NAMES), _counts_sql("height_class", classes.HEIGHT_NAMES)),
     "size_height_matrix": (lambda s, d: ob.matrix(objs(s, d, False)), sql("select height_class, size_class, count(*) as n from obj where significant group by cube(height_class, size_class)", "v_feature")),
     "leg_location_rollup": (_leg("loc_err"), _leg_sql("loc_err")),
@@ -248,9 +263,9 @@ QUERIES = {
     "animals": (_animals, sql("select * from ani", "v_feature", "v_category", **ANI)),
     "waypoints_all": (lambda s, d: exports.waypoints(_animals(s, d)), sql(POINT, "v_feature", "v_category", **ANI)),
     "waypoints_selected": (lambda s, d: exports.waypoints(_animals(s, d), True), sql(POINT + " and category not in ('', 'Ignore')", "v_feature", "v_category", **ANI)),
-    "waypoints_csv": (lambda s, d: exports.csv_lines(exports.waypoints(_animals(s, d))), None),
-    "waypoints_json": (lambda s, d: exports.json_segments(exports.waypoints(_animals(s, d))), None),
-    "waypoints_kml": (lambda s, d: exports.kml_placemarks(exports.waypoints(_animals(s, d))), None),
+    "waypoints_csv": (lambda s, d: _rounded(s, d, exports.csv_lines), sql("select object_id, cast(latitude as varchar) || ',' || cast(longitude as varchar) || ',100,5,TRUE,,90,,2' as line from (" + SHORT + ")", "v_feature", "v_category", **ANI)),
+    "waypoints_json": (lambda s, d: _rounded(s, d, exports.json_segments), sql("""select object_id, '{"type":"Waypoint","point":{"latitude":' || cast(latitude as varchar) || ',"longitude":' || cast(longitude as varchar) || ',"altitude":100,"altitudeType":"AGL"},"parameters":{"speed":5,"altitudeType":"AGL"}}' as segment from (""" + SHORT + ")", "v_feature", "v_category", **ANI)),
+    "waypoints_kml": (lambda s, d: _rounded(s, d, exports.kml_placemarks), sql("""select object_id, '    <Placemark>' || chr(10) || '      <name>WP Point</name>' || chr(10) || '      <styleUrl>#defaultStyle</styleUrl>' || chr(10) || '      <Point>' || chr(10) || '        <coordinates>' || cast(longitude as varchar) || ',' || cast(latitude as varchar) || ',0</coordinates>' || chr(10) || '      </Point>' || chr(10) || '    </Placemark>' || chr(10) as placemark from (""" + SHORT + ")", "v_feature", "v_category", **ANI)),
     "feature_range": (_range_m, sql("select feature_id, round(sqrt((northing_m - 50) * (northing_m - 50) + (easting_m - 50) * (easting_m - 50)), 6) as range_m from v_feature", "v_feature", obj=False)),
     "feature_detail": (_detail, sql("select f.object_id, feature_id, box_x + box_w // 2 as centre_x, box_y + box_h // 2 as centre_y, round(northing_m - loc_n, 6) + 0e0 as d_n, round(easting_m - loc_e, 6) + 0e0 as d_e from v_feature f join loc on loc.object_id = f.object_id", "v_feature")),
     "feature_first_last": (lambda s, d: ob.first_last(features(s, d)), sql(f"select object_id, min(feature_id) as first_feature, max(feature_id) as last_feature, max({_r('feature_id')}) as last_real_feature, arg_max(block_id, feature_id) as last_block, arg_min(block_id, feature_id) as first_block from v_feature group by object_id", "v_feature", obj=False)),

@@ -39,8 +39,8 @@ def _cast(s, d):
     return spatial.raycast(_rays(s, d), view(s, d, "v_dem"), "feature_id").select("feature_id", "step", *[F.round(c, 5).alias(c) for c in ("hit_n", "hit_e", "hit_up")])
 
 
-CAST = f"""st as (select ray.*, k as step, north + d_n * k as p_n, east + d_e * k as p_e, altitude + d_up * k as p_up from ray, (select unnest(generate_series(0, 999)) as k) where d_up < -1e-6),
-hit as (select st.feature_id, min(step) as step from st join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e) where p_up <= elev_m group by 1)"""
+CAST = f"""st as materialized (select ray.*, k as step, north + d_n * k as p_n, east + d_e * k as p_e, altitude + d_up * k as p_up from (select *, unnest(generate_series(greatest(0, cast(floor((altitude - 98e-1) / -d_up) as bigint)), least(999, cast(ceil((altitude - 5) / -d_up) as bigint)))) as k from ray where d_up < -1e-6 and altitude > 98e-1) ray),
+hit as materialized (select st.feature_id, min(step) as step from st join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e) where p_up <= elev_m group by 1)"""
 
 
 def _dem(s, d):
@@ -125,6 +125,13 @@ def _radiometric(s, d):
     return raw.groupBy(pixels.radiometric(F.col("raw"), CFG).alias("grey")).agg(F.count("*").alias("n"))
 
 
+VIEWS_SQL = sql("""select object_id, count(*) as n, min(feature_id) as first from r where taken group by object_id""", "v_feature", obj=False, more="""s as materialized (select object_id, feature_id, box_x, box_y, box_x > 0 and box_y > 0 and box_x + box_w < 2560 and box_y + box_h < 2048 as off,
+  row_number() over (partition by object_id order by feature_id) as i from v_feature where num_hot >= 8),
+r as (select object_id, feature_id, i, off as taken, case when off then box_x end as x, case when off then box_y end as y from s where i = 1
+  union all select s.object_id, s.feature_id, s.i, case when r.x is null then off else abs(s.box_x - r.x) >= 2 and abs(s.box_y - r.y) >= 2 end,
+  case when case when r.x is null then off else abs(s.box_x - r.x) >= 2 and abs(s.box_y - r.y) >= 2 end then s.box_x else r.x end, case when case when r.x is null then off else abs(s.box_x - r.x) >= 2 and abs(s.box_y - r.y) >= 2 end then s.box_y else r.y end
+  from r join s on s.object_id = r.object_id and s.i = r.i + 1)""").replace("with ", "with recursive ", 1)
+
 QUERIES = {
     "camera_ray": (lambda s, d: _rays(s, d).select("feature_id", *[(F.round(c, 8) + 0.0).alias(c) for c in ("d_n", "d_up", "d_e")]), sql("select feature_id, round(d_n, 8) + 0e0 as d_n, round(d_up, 8) + 0e0 as d_up, round(d_e, 8) + 0e0 as d_e from ray", "v_feature", obj=False, more=RAYS)),
     "flat_ground_hit": (_flat, sql("select feature_id, round(case when ok then east + t * d_e end, 5) as hit_e, round(case when ok then north + t * d_n end, 5) as hit_n from (select *, d_up < -1e-6 and sqrt(t * d_e * t * d_e + t * d_n * t * d_n) <= 1000 as ok from (select *, (altitude - 10) / -d_up as t from ray))", "v_feature", obj=False, more=RAYS)),
@@ -136,7 +143,7 @@ QUERIES = {
     "box_overlap_pairs": (lambda s, d: spatial.overlap_pairs(features(s, d), CFG.feature_min_overlap_perc).groupBy("block_id").agg(F.count("*").alias("n"), F.sum("area").alias("area")),
         sql("""select block_id, count(*) as n, cast(sum(o) as bigint) as area from (select a.block_id, a.box_w * a.box_h as aa, b.box_w * b.box_h as ab, greatest(least(a.box_x + a.box_w, b.box_x + b.box_w) - greatest(a.box_x, b.box_x), 0) * greatest(least(a.box_y + a.box_h, b.box_y + b.box_h) - greatest(a.box_y, b.box_y), 0) as o
   from v_feature a join v_feature b on a.block_id = b.block_id and a.feature_id < b.feature_id and a.box_x < b.box_x + b.box_w and b.box_x < a.box_x + a.box_w and a.box_y < b.box_y + b.box_h and b.box_y < a.box_y + a.box_h) where o * 100 >= aa * 5 or o * 100 >= ab * 5 group by block_id""", "v_feature", obj=False)),
-    "distinct_views": (lambda s, d: spatial.distinct_views(features(s, d).where("num_hot >= 8")).groupBy("object_id").agg(F.count("*").alias("n"), F.min("feature_id").alias("first")), None),
+    "distinct_views": (lambda s, d: spatial.distinct_views(features(s, d).where("num_hot >= 8")).groupBy("object_id").agg(F.count("*").alias("n"), F.min("feature_id").alias("first")), VIEWS_SQL),
     "hot_pixels": (lambda s, d: _hot(s, d), f"with {ctes('v_pixel')} select * from v_pixel where heat > 125"),
     "exclusion_zone": (_excluded, f"with {ctes('v_pixel')} select block_id, count(*) as n from v_pixel where heat > 125 and not (x >= 150 and y >= 70) group by block_id"),
     "pixel_clusters": (lambda s, d: _clustered(s, d), LINKED + "select h.block_id, h.y, h.x, h.heat, f.cluster from c join f on f.block_id = c.block_id and f.root = c.root join h on h.block_id = c.block_id and h.y * 1000 + h.x = c.p"),
@@ -158,7 +165,5 @@ select problem, count(*) as n from (select 'same time' as problem from g where d
 g as (select vec_id, label, coalesce(max(case when label = l2 then m end), 0) as a, min(case when label <> l2 then m end) as b from d group by 1, 2) select vec_id, label, round((b - a) / greatest(a, b), 5) as silhouette from g"""),
     "input_kinds": (_kinds, "select kind, count(*) as n from (select case c_custkey % 4 when 0 then 'video' when 1 then 'video' when 2 then 'images' else 'unknown' end as kind from customer) group by kind"),
     "radiometric_window": (_radiometric, "select cast(trunc(least(greatest((4550 + o_orderkey % 100 - 4575) / 45e0, 0), 1) * 255) as int) as grey, count(*) as n from orders group by 1"),
-    "invariant_feature_owner": (lambda s, d: _tracked(s, d).where("kind = 'Real' and object_no is not null").groupBy("leg_id", "block_id", "object_no").count().where("count > 1").agg(F.count("*").alias("violations")), "select cast(0 as bigint) as violations"),
-    "invariant_box_holds_pixels": (lambda s, d: _features(s, d).where("num_hot > box_w * box_h").agg(F.count("*").alias("violations")), "select cast(0 as bigint) as violations"),
 }
 

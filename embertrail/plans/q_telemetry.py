@@ -41,7 +41,4 @@ QUERIES = {
 r as (select *, cast(sum(b) over (partition by flight_id order by block_id) as bigint) as burst from h) select flight_id, burst, min(block_id) as min_block, max(block_id) as max_block, count(*) as n_blocks, max(num_sig) as most_sig from r group by flight_id, burst"""),
     "nearest_block": (lambda s, d: te.nearest_block(view(s, d, "v_block"), 1_000_000_000), f"with {ctes('v_block')} select flight_id, arg_min(block_id, struct_pack(a := abs(ms - 1000000000), b := block_id)) as block_id from v_block group by flight_id"),
     "display_sample": (lambda s, d: te.display_sample(view(s, d, "v_block")).select("flight_id", "block_id"), f"with {ctes('v_block')} select flight_id, block_id from (select *, min(block_id) over (partition by flight_id) as a, max(block_id) over (partition by flight_id) as z from v_block) where block_id % 100 = 0 or block_id = a or block_id >= z - 1"),
-    "invariant_time_forward": (lambda s, d: te.deltas(_placed(s, d)).where("time_ms <= 0").agg(F.count("*").alias("violations")), "select cast(0 as bigint) as violations"),
-    "invariant_weights": (lambda s, d: _placed(s, d).where("weight < 0 or weight > 1").agg(F.count("*").alias("violations")), "select cast(0 as bigint) as violations"),
-    "invariant_before_step": (lambda s, d: _joined(s, d).where("before_ms > ms").agg(F.count("*").alias("violations")), "select cast(0 as bigint) as violations"),
 }

@@ -20,6 +20,7 @@ PIXEL = _schema("flight_id long, block_id int, y int, x int, heat int")
 STEP = _schema("flight_id long, step_id int, sum_time_ms long, leg_id int, northing_m double, easting_m double, altitude_m double, yaw_deg double, pitch_deg double, roll_deg double, dem_m double, dsm_m double, sum_lineal_m double, camera_to_vertical_deg double, fixed_distance_down_m double, image_area_m2 double")
 BLOCK = _schema("flight_id long, block_id int, flight_step_id int, leg_id int, input_frame_id int, input_frame_ms int, min_feature_id int, max_feature_id int")
 FEATURE = _schema("feature_id long, is_tracked boolean, significant boolean, object_id long, block_id int, type string, northing_m double, easting_m double, height_m double, height_algorithm string, box_x int, box_y int, box_w int, box_h int, min_heat int, max_heat int, num_hot int, sum_hot int, num_max_heat int, leg_id int, range_m double")
+OBJECT = _schema("object_id long, name string, leg_id int, significant boolean, attributes string, num_real_features int, num_significant_blocks int, max_num_hot int, max_sum_hot int, size_cm2 long, size_class string, height_m double, height_err_m double, height_class string, northing_m double, easting_m double, location_err_m double, avg_range_m int, avg_lineal_m double, run_from_block int, run_to_block int")
 SPAN = _schema("process_span_id int, name string, num_significant_objects int, best_fix_alt_m double, best_sum_locn_err_m double, best_sum_height_err_m double, org_sum_locn_err_m double, org_sum_height_err_m double, min_step_id int, max_step_id int, min_block_id int, max_block_id int")
 CATEGORY = _schema("object_name string, category string, include boolean, notes string")
 DEM = _schema("n_cell int, e_cell int, elev_m double")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertrail.config import Config
+from embertrail.functions import score
 from embertrail.operators import objects, pixels, tracker
 
 EVENTS = ("run_start", "interval_start", "leg_start", "block", "leg_end", "interval_end", "run_end", "error")
@@ -53,6 +54,14 @@ def yolo(frames: DataFrame, cfg: Config) -> DataFrame:
 STRATEGIES: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"Comb": comb, "Threshold": threshold, "Yolo": yolo}
 
 
+def objects_of(tracked: DataFrame, cfg: Config) -> DataFrame:
+    """Tracked features to objects: blocks, counts, largest sizes and significance."""
+    real = F.col("kind") == "Real"
+    objs = tracked.where("object_no is not null").groupBy("flight_id", "leg_id", "object_no").agg(F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.count_if(real).alias("n_real"), F.max(F.when(real, F.col("num_hot"))).alias("max_hot"), F.max(F.when(real, F.col("box_w"))).alias("max_w"), F.max(F.when(real, F.col("box_h"))).alias("max_h"))
+    dense, units = score.density(F.col("max_hot"), F.col("max_w"), F.col("max_h")), score.duration_units(F.col("n_real"), cfg)
+    return objs.withColumn("significant", score.significant(F.col("max_hot"), F.lit(0), dense, units, F.lit(None).cast("double"), cfg))
+
+
 @dataclass
 class Engine:
     """process(): frames to tracked features and objects. Hooks are called on the driver with (event, detail)."""
@@ -73,21 +82,55 @@ class Engine:
 
     def process(self, frames: DataFrame, legs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """frames (flight_id, frame_id, height, width, data); legs (flight_id, block_id, leg_id), one leg if None -> tracked features and
-        objects (flight, leg, object number, blocks, counts). Plans only: nothing runs until a result is read."""
+        objects (flight, leg, object number, blocks, counts, significance). Features outside legs are kept, without an object and with leg
+        0. Plans only: nothing runs until a result is read."""
+        if frames is None:
+            raise InvalidInput("no frames")
+        self.tell("run_start")
+        try:
+            return self._plans(frames, legs)
+        except Exception as e:
+            self.tell("error", e)
+            raise
+
+    def _plans(self, frames: DataFrame, legs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        found = STRATEGIES[self.algorithm](frames, self.config)
+        placed = found.withColumn("leg_id", F.lit(1)) if legs is None else found.join(legs, ["flight_id", "block_id"], "left").withColumn("leg_id", F.greatest(F.coalesce("leg_id", F.lit(0)), F.lit(0)))
+        tracked = tracker.track(placed.where("leg_id > 0"), self.config)
+        if legs is not None:
+            outside = placed.where("leg_id = 0").withColumns({"object_no": F.lit(None), "kind": F.lit("Real")})
+            tracked = tracked.unionByName(outside.select([F.col(f.name).cast(f.dataType) for f in tracked.schema]))
+        return tracked, objects_of(tracked, self.config)
+
+    def run(self, frames: DataFrame, folder: str, legs: DataFrame | None = None, ranges: list[tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Processes and writes each range of milliseconds (everything, if None) under a folder, and tells all events as they come about:
+        a leg's with its counts, when its range is written. Returns what was written."""
         if frames is None:
             raise InvalidInput("no frames")
         self.tell("run_start")
+        spark, written = frames.sparkSession, []
         try:
-            found = STRATEGIES[self.algorithm](frames, self.config)
-            placed = found.withColumn("leg_id", F.lit(1)) if legs is None else found.join(legs.where("leg_id > 0"), ["flight_id", "block_id"])
-            tracked = tracker.track(placed, self.config)
+            for i, ends in enumerate(ranges or [None]):
+                self.tell("interval_start", ends)
+                part = frames if ends is None else frames.where(F.col("ms").between(*ends))
+                paths = [f"{folder.rstrip('/')}/interval={i}/{what}" for what in ("features", "objects")]
+                tracked, _ = self._plans(part, legs)
+                tracked.write.mode("overwrite").parquet(paths[0])
+                done = spark.read.parquet(paths[0])
+                objects_of(done, self.config).write.mode("overwrite").parquet(paths[1])
+                written.append(paths)
+                found = spark.read.parquet(paths[1]).groupBy("flight_id", "leg_id").agg(F.count("*").alias("objects"), F.count_if("significant").alias("significant"))
+                blocks = done.groupBy("flight_id", "leg_id").agg(F.countDistinct("block_id").alias("blocks")).where("leg_id > 0")
+                for leg in blocks.join(found, ["flight_id", "leg_id"], "left").orderBy("flight_id", "leg_id").collect():  # one row a leg
+                    self.tell("leg_start", (leg["flight_id"], leg["leg_id"]))
+                    self.tell("block", leg["blocks"])
+                    self.tell("leg_end", (leg["objects"] or 0, leg["significant"] or 0))
+                self.tell("interval_end", ends)
         except Exception as e:
             self.tell("error", e)
             raise
-        real = F.col("kind") == "Real"
-        objs = tracked.where("object_no is not null").groupBy("flight_id", "leg_id", "object_no").agg(F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.count_if(real).alias("n_real"), F.max(F.when(real, F.col("num_hot"))).alias("max_hot"), F.max(F.when(real, F.col("box_w"))).alias("max_w"), F.max(F.when(real, F.col("box_h"))).alias("max_h"))
         self.tell("run_end")
-        return tracked, objs
+        return spark.read.parquet(*[p[0] for p in written]), spark.read.parquet(*[p[1] for p in written])
 
     def preview(self, minutes: float) -> tuple[int, float]:
         """Objects and minutes to expect for so many minutes of video."""

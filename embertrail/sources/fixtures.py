@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "v_feature": """
 select l_partkey as object_id, l_partkey % 8 as leg_id,
-  row_number() over (order by l_partkey, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag) as feature_id,
+  l_partkey * 1000000 + row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag) as feature_id,
   row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag) as block_id,
   case when l_returnflag = 'R' then 'Unreal' else 'Real' end as type,
   (l_orderkey * 31) % 600 as box_x, (l_suppkey * 17) % 480 as box_y,
@@ -48,13 +48,17 @@ from part where p_partkey % 2 = 0""",
 select a.event_id as n_cell, b.event_id as e_cell, 5 + ((a.event_id * 7 + b.event_id * 13) % 25) / 5e0 as elev_m
 from events a cross join events b where a.event_id < 200 and b.event_id < 200""",
 }
+#: Where the drone is in each block of a leg: the block's step.
+VIEWS["v_drone"] = f"""
+select distinct leg_id, block_id, block_id + leg_id * 1000 as step_id, leg_id * 9e0 + block_id * 2e0 as drone_n, 90e0 - block_id * 3e0 as drone_e, block_id * 35e-1 as lineal_m
+from ({VIEWS["v_feature"]}) v_feature"""
 VIEWS["v_ray"] = f"""
 select object_id, feature_id, easting_m as c_e, northing_m as c_n, 60 + block_id / 1e1 as c_a,
   cast(object_id % 90 as double) as tx, cast(object_id % 70 as double) as ty, cast(object_id % 5 as double) as tz,
   object_id % 90 - easting_m as d_e, object_id % 70 - northing_m as d_n, object_id % 5 - (60 + block_id / 1e1) as d_a
 from ({VIEWS["v_feature"]}) v_feature where type = 'Real'"""
 
-TABLES = {"v_feature": "lineitem", "v_pixel": "lineitem", "v_ray": "lineitem", "v_step": "events", "v_block": "events", "v_dem": "events", "v_category": "part"}
+TABLES = {"v_feature": "lineitem", "v_pixel": "lineitem", "v_ray": "lineitem", "v_drone": "lineitem", "v_step": "events", "v_block": "events", "v_dem": "events", "v_category": "part"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,4 +76,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ctes(*names: str) -> str:
     """The same as a list of common table expressions for DuckDB."""
-    return ",\n".join(f"{n} as ({VIEWS[n].replace('unix_micros(', 'epoch_us(')})" for n in names)
+    return ",\n".join(f"{n} as materialized ({VIEWS[n].replace('unix_micros(', 'epoch_us(')})" for n in names)

@@ -43,6 +43,12 @@ def read_config(spark: SparkSession, path: str) -> Config:
     return Config.from_rows([(r["name"], r["value"]) for r in rows.collect()]).clamped()  # one row per parameter
 
 
+def read_settings(spark: SparkSession, path: str) -> Config:
+    """Settings from a JSON object of parameter names and values; names that are no parameters are left out."""
+    row = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path).first()  # one object
+    return Config.from_rows([(k, v) for k, v in (row.asDict() if row else {}).items() if v is not None]).clamped()
+
+
 def write_config(spark: SparkSession, cfg: Config, path: str) -> None:
     spark.createDataFrame(cfg.rows(), "name string, value string").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 

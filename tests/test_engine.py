@@ -226,3 +226,27 @@ def test_choose_k_and_adjust(spark):
     rows = [(1, 1, 1, 0.0, 0.0, 1.0), (1, 2, 1, 1.0, 5.0, 2.0), (1, 3, 1, 90.0, 6.0, 3.0), (1, 4, 2, 88.0, 0.0, 2.0)]
     out = {r["feature"]: r["cluster"] for r in clusters.adjust(spark.createDataFrame(rows, "leg_id long, feature long, cluster long, x double, y double, time double"), CFG, 0.5).collect()}
     assert out == {1: 1, 2: 1, 3: 2, 4: 2}
+
+
+def test_no_rows_break_what_always_holds(spark):
+    """Features hold their pixels, time runs forward, weights lie in 0..1, and no step joined as before lies after."""
+    from embertrail.plans import q_space, q_telemetry
+    from embertrail.operators import telemetry as te
+
+    sf = "/root/testdata/sf0.001"
+    t = q_space._tracked(spark, sf).where("kind = 'Real' and object_no is not null")
+    assert t.groupBy("leg_id", "block_id", "object_no").count().where("count > 1").count() == 0
+    assert q_space._features(spark, sf).where("num_hot > box_w * box_h").count() == 0
+    assert te.deltas(q_telemetry._placed(spark, sf)).where("time_ms <= 0").count() == 0
+    assert q_telemetry._placed(spark, sf).where("weight < 0 or weight > 1").count() == 0
+    assert q_telemetry._joined(spark, sf).where("before_ms > ms").count() == 0
+
+
+def test_rays_past_the_edge_or_a_hole_of_the_grid(spark):
+    """A ray that is below the lowest ground over no cell goes on, and hits where a cell comes."""
+    from embertrail.operators import spatial
+
+    rays = spark.createDataFrame([(1, -20.0, 0.5, 10.0, 0.8, -0.6, 0.0), (2, 0.5, 0.5, 10.0, 0.0, -1.0, 0.0)], "k long, north double, east double, altitude double, d_n double, d_up double, d_e double")
+    dem = spark.createDataFrame([(n, 0, 5.0) for n in range(0, 30)], "n_cell int, e_cell int, elev_m double")
+    got = {r["k"]: r["step"] for r in spatial.raycast(rays, dem, "k").collect()}
+    assert got == {1: 25, 2: 5}
