@@ -68,14 +68,16 @@ def votes(stats: tuple[float, ...]) -> int:
     return code
 
 
-def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(codes: np.ndarray, n: np.ndarray, labellers: int, steps: int = STEPS, one_kind: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM on pattern counts: P(good | pattern); P(bad vote | class, labeller votes) by class, the good one first, then the kinds of bad
-    ones; P(class). Votes of nothing say nothing."""
+    ones; P(class). Votes of nothing say nothing. one_kind: bad documents are all alike, and each labeller may see their flaw."""
     v = np.stack([codes // 3**i % 3 for i in range(labellers)][::-1], 1) if len(codes) else np.zeros((0, labellers), int)
     bad, good, n = (v == 1).astype(float), (v == 2).astype(float), n.astype(float)
-    start = np.full((1 + labellers, labellers), MISS)
-    start[1 + np.arange(labellers), np.arange(labellers)] = HIT
-    rate, share = start.copy(), np.concatenate([[0.5], np.full(labellers, 0.5 / labellers)])
+    kinds = 1 if one_kind else labellers
+    start = np.full((1 + kinds, labellers), MISS)
+    start[1 + np.arange(kinds), np.arange(kinds)] = HIT
+    start[1:] = HIT if one_kind else start[1:]
+    rate, share = start.copy(), np.concatenate([[0.5], np.full(kinds, 0.5 / kinds)])
     for _ in range(steps):
         log = np.log(share) + bad @ np.log(rate.T) + good @ np.log(1 - rate.T)
         own = np.exp(log - log.max(1, keepdims=True))

@@ -96,12 +96,29 @@ def test_em_recovers_labeller_accuracies():
     truth, right, k = rng.random(20_000) < 0.7, [0.9, 0.8, 0.75, 0.6], 4
     votes = np.stack([np.where(rng.random(20_000) < a, truth, ~truth).astype(int) + 1 for a in right], 1)
     codes, n = np.unique(votes @ 3 ** np.arange(k)[::-1], return_counts=True)
-    p, acc, share = weak_labels.posteriors(codes, n, k, ratio=1)
-    assert abs(share - 0.7) < 0.08
-    assert all(abs(acc[j, 1, 2] - a) < 0.06 for j, a in enumerate(right))
+    p, rate, share = weak_labels.posteriors(codes, n, k, one_kind=True)
+    assert abs(share[0] - 0.7) < 0.08
+    assert all(abs(rate[0, j] - (1 - a)) < 0.08 for j, a in enumerate(right))
     assert p[-1] > 0.95 and p[0] < 0.05  # all good, all bad
 
 
+def test_em_decides_and_not_any_bad_vote():
+    """Three kinds of flaws, each seen by two labellers, and one labeller that votes bad on a tenth of all documents: with the shipped
+    settings its vote alone makes no document bad, which 'some labeller voted bad' and a count of votes get wrong."""
+    rng = np.random.default_rng(5)
+    kind = np.where(rng.random(20_000) < 0.85, -1, rng.integers(0, 3, 20_000))
+    bad = np.zeros((20_000, 7), bool)
+    for j in range(6):
+        bad[:, j] = (rng.random(20_000) < np.where(kind == j // 2, 0.9, 0.003))
+    bad[:, 6] = rng.random(20_000) < 0.1
+    codes, at, n = np.unique(np.where(bad, 1, 2) @ 3 ** np.arange(7)[::-1], return_inverse=True, return_counts=True)
+    p, rate, _ = weak_labels.posteriors(codes, n, 7)
+    said, truth = p[at.ravel()] < 0.5, kind >= 0
+    error = lambda x: (x != truth).mean()
+    assert error(said) < 0.02 and error(bad.any(1)) > 5 * error(said) and error(bad.sum(1) > 3) > 5 * error(said)
+    assert abs(rate[0, 6] - 0.1) < 0.03 and rate[0, :6].max() < 0.03
+
+
 def test_votes_and_scorer_over_odd_rows(spark):
     good, bad = " ".join(f"calm{i} words" for i in range(60)), "BUY NOW!! ### $$$ " * 20
     docs = spark.createDataFrame([(i, good + str(i)) for i in range(40)] + [(100 + i, bad + str(i)) for i in range(15)] + [(200, None), (201, ""), (None, good)], "doc_id long, text string")
@@ -110,3 +127,31 @@ def test_votes_and_scorer_over_odd_rows(spark):
     assert all(out[100 + i]["predicted"] == 0 for i in range(15))
     assert 0 <= out[200]["score"] <= 1 and len(RATIOS) == 12
     assert weak_labels.classify(docs.where("false")).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "some calm words here " * 20), (1, "some calm words here " * 20), (None, None), (2, "x")], "doc_id long, text string").selectExpr("*", "'a' as score", "1 as pattern", "2 as repeats", "3 as _k")
+    out = weak_labels.classify(docs).collect()
+    assert len(out) == 4 and len({(r["pattern"], r["score"]) for r in out if r["doc_id"] == 1}) == 1
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    from embertrail.llm.common import sampled
+
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "cast(id % 5000 as string) as text")
+    got = sampled(rows, 500, "doc_id", "text").collect()
+    assert 350 < len(got) < 700 and {r["repeats"] for r in got} == {4}
+    same = spark.range(20_000).selectExpr("7L as doc_id", "'same' as text")
+    assert [r["repeats"] for r in sampled(same, 10, "doc_id", "text").collect()] == [20_000]
+
+
+def test_judged_rows_against_brute_force(spark):
+    """The whole query: counts, base rules, and nothing that they reject is kept."""
+    from embertrail.llm.common import table
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    for r in quality_rules.op1_quality_rules(spark, sf).collect():
+        n, chars, symbols, dup, repeats = brute(texts[r["doc_id"]]) if len(texts[r["doc_id"]] or "") < 20_000 else text_stats(texts[r["doc_id"]].encode())[0]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeats)
+        assert r["base_failed"] == (n < 20 or 100 * repeats > 30 * n) and not (r["base_failed"] and r["kept"])

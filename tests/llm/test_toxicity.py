@@ -20,6 +20,29 @@ def test_nnpu_finds_positives_in_unlabelled():
     assert (said == np.array(truth)).mean() > 0.97
 
 
+def test_plain_loss_is_worse():
+    """Most toxic texts are among the unlabelled: taking these for clean loses them, the corrected risk does not."""
+    rng = np.random.default_rng(1)
+    rows, positive, truth = [], [], []
+    for _ in range(3000):
+        toxic = rng.random() < 0.2
+        rows.append(np.array(sorted({int(i) for i in rng.integers(10, 40, 5)} | ({int(rng.integers(0, 10))} if toxic else set()))))
+        truth.append(toxic)
+        positive.append(toxic and rng.random() < 0.3)
+    truth, positive = np.array(truth), np.array(positive)
+    x = np.zeros((3000, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    x[:, 40] = 1
+    w = np.zeros(41)
+    for _ in range(2000):
+        w -= 1.0 * x.T @ (1 / (1 + np.exp(-x @ w)) - positive) / 3000
+    plain = (x @ w > 0)[truth].mean()
+    v, b = toxicity.fit_nnpu(rows, positive, 40, 0.15)
+    corrected = np.array([v[r].sum() + b > 0 for r in rows])[truth].mean()
+    assert (v < 0).any() and corrected > 0.95 and plain < corrected - 0.3
+
+
 def test_held_out_rows_and_labels_are_not_read(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
