@@ -74,9 +74,10 @@ def release(*tables: DataFrame) -> None:
 
 
 def ready(spark: SparkSession) -> None:
-    """For operators with Python workers: Arrow batches end at 8 MB, so that very long texts do not add up in a worker; workers give freed
-    memory back to the system, as they live on from task to task; and they find this package where it is not installed."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """For operators with Python workers: Arrow batches end at 2 MB, so that very long texts do not add up in a worker or in the
+    executor's buffers, which are twice a batch and more; workers give freed memory back to the system, as they live on from task to task;
+    and they find this package where it is not installed."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     spark.sparkContext.environment.update(ARROW_DEFAULT_MEMORY_POOL="system", MALLOC_ARENA_MAX="2", MALLOC_TRIM_THRESHOLD_="131072")
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
