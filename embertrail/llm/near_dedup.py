@@ -144,8 +144,8 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _near(sets: DataFrame, ids: DataFrame, column: str, what: str) -> DataFrame:
-    """The sets of the ids, and a few more: a bitmap keeps the others from being shuffled. They are dealt by id, as the join needs them, even
-    where the planner would broadcast its other side: else two Python workers run in one task, and both live on beside each other."""
+    """The sets of the ids, and a few more: a bitmap keeps the others from being shuffled. They are dealt by the join, even where the
+    planner would broadcast its other side: else two Python workers run in one task, and both live on beside each other."""
     ids = ids.select(column).distinct()
     slots = _slots(ids.count())
     bits = bitmap(ids, _slot(column, slots), slots)
@@ -155,7 +155,7 @@ def _near(sets: DataFrame, ids: DataFrame, column: str, what: str) -> DataFrame:
             at = pa.array(_marked(bits, b.column(2).to_numpy()))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], [column, "x"])
 
-    return sets.select("node", what, _slot("node", slots).alias("slot")).mapInArrow(run, f"{column} long, x binary").repartition(column)
+    return sets.select("node", what, _slot("node", slots).alias("slot")).mapInArrow(run, f"{column} long, x binary").hint("merge")
 
 
 def _alike(s: np.ndarray, t: np.ndarray) -> bool:
