@@ -34,3 +34,8 @@ def location(n: Column, e: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     return F.upper(F.trim(name))
+
+
+def describe_objects(n: Column) -> Column:
+    """`7 Objects`; empty for none."""
+    return F.when(n > 0, F.format_string("%d Objects", n)).otherwise("")

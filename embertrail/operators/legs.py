@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertrail.config import Config
-from embertrail.functions import geo
+from embertrail.functions import geo, text
 from embertrail.operators.frames import mean_of_ends
 from embertrail.operators.objects import is_real
 
@@ -90,3 +90,24 @@ def pivoted_matrix(objects: DataFrame, sizes: list[str], heights: list[str]) ->
     total, and how many of them have a category."""
     known = objects.where(F.col("significant") & F.col("height_class").isin(heights))
     return known.rollup("height_class").agg(*[F.count_if(F.col("size_class") == s).alias(f"n_{s.lower()}") for s in sizes], F.count("*").alias("n_all"), F.count_if(F.col("category") != "").alias("n_categorised"))
+
+
+def object_details(objects: DataFrame, drone: DataFrame, sections: DataFrame, cfg: Config) -> DataFrame:
+    """Report rows of significant objects: name, seconds into the video, size, heat, place, and the file of the image that first showed
+    each: its first block's step, and the section (step_id, image_file_name) of that step. Empty where there is none."""
+    steps = drone.select("leg_id", F.col("block_id").alias("first_block"), "step_id")
+    found = objects.where("significant").join(steps, ["leg_id", "first_block"], "left").join(sections.select("step_id", "image_file_name"), "step_id", "left")
+    return found.select(
+        "object_id", "name", F.round(F.col("first_block") / F.lit(cfg.fps), 3).alias("seen_s"), "size_cm2", "max_hot", "avg_heat", "max_heat", F.when(F.col("max_heat_px") > 0, F.col("max_heat_px")).alias("num_max_heat"),
+        text.location(F.round(F.round("loc_n", 6)), F.round(F.round("loc_e", 6))).alias("location"), F.coalesce("image_file_name", F.lit("")).alias("image_file_name"))
+
+
+def triangulation_residual(rays: DataFrame, points: DataFrame) -> DataFrame:
+    """object_id, residual: the root of the summed fourth powers of the distances between an object's rays (c_e, c_n, c_a, d_e, d_n, d_a) and
+    its point (east, north, up). One row an object is joined back; rays never meet in a task."""
+    near = rays.join(points.select("object_id", "east", "north", "up"), "object_id")
+    v = [F.col(p) - F.col(f"c_{c}") for c, p in (("e", "east"), ("n", "north"), ("a", "up"))]
+    d = [F.col(f"d_{c}") for c in "ena"]
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    away = dot(v, v) - F.try_divide(dot(v, d) * dot(v, d), dot(d, d))
+    return near.groupBy("object_id").agg(F.sqrt(F.sum(away * away)).alias("residual"))

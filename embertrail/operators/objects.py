@@ -47,16 +47,18 @@ def locations(features: DataFrame) -> DataFrame:
 
 
 def summarise(features: DataFrame, cfg: Config | None = None, with_location: bool = True) -> DataFrame:
-    """One row per object: counts, maxima, height, heat, size, score, classes, and location."""
+    """One row per object: counts, maxima, height, heat, size, score, classes, and location. Where features tell how their height was found
+    (height_algorithm), the mean height is that of heights along the line of sight."""
     cfg = cfg or Config()
     real = lambda c: F.when(is_real(), F.col(c))
+    sighted = F.col("height_algorithm").startswith("LOS") if "height_algorithm" in features.columns else F.lit(True)
     spare = F.lit(0) if "num_max_heat" not in features.columns else real("num_max_heat")
     out = features.groupBy("object_id").agg(
         F.max("leg_id").alias("leg_id"), F.count("*").alias("n_features"), F.count_if(is_real()).alias("n_real"),
         F.min("block_id").alias("first_block"), F.max(real("block_id")).alias("last_real_block"), F.max("block_id").alias("last_block"),
         F.max(real("num_hot")).alias("max_hot"), F.max(real("sum_hot")).alias("max_sum_hot"), F.coalesce(F.max(spare), F.lit(0)).alias("max_heat_px"),
         F.max(real("box_w")).alias("max_w"), F.max(real("box_h")).alias("max_h"),
-        F.avg(real("height_m")).alias("height"), F.min(real("height_m")).alias("min_height"), F.max(real("height_m")).alias("max_height"),
+        F.avg(F.when(is_real() & sighted, F.col("height_m"))).alias("height"), F.min(real("height_m")).alias("min_height"), F.max(real("height_m")).alias("max_height"),
         F.min(real("max_heat")).alias("min_heat"), F.max(real("max_heat")).alias("max_heat"),
         F.avg(F.when(is_real() & (F.col("num_hot") > 0), F.col("sum_hot") / F.col("num_hot"))).cast("int").alias("avg_heat"),
         F.max(F.when(is_real(), size_cm2(F.col("image_area_m2"), F.col("num_hot"), cfg))).alias("size_cm2"))
@@ -68,6 +70,26 @@ def summarise(features: DataFrame, cfg: Config | None = None, with_location: boo
     return out.join(locations(features), "object_id") if with_location else out
 
 
+def significant_blocks(features: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """object_id, num_significant_blocks: at how many of its real features an object, as it was known by then, was significant. An object may
+    cease to be: its box grows and its density falls. Running values need an object's features in order; objects without any count 0."""
+    from pyspark.sql import Window
+
+    cfg = cfg or Config()
+    so_far = Window.partitionBy("object_id").orderBy("feature_id").rowsBetween(Window.unboundedPreceding, 0)
+    real = lambda c: F.when(is_real(), F.col(c))
+    spare = F.lit(0) if "num_max_heat" not in features.columns else F.coalesce(F.max(real("num_max_heat")).over(so_far), F.lit(0))
+    hot, w, h = (F.max(real(c)).over(so_far) for c in ("num_hot", "box_w", "box_h"))
+    units = score.duration_units(F.count(real("feature_id")).over(so_far), cfg)
+    at = features.select("object_id", (is_real() & score.significant(hot, spare, score.density(hot, w, h), units, F.avg(real("height_m")).over(so_far), cfg)).alias("_sig"))
+    return at.groupBy("object_id").agg(F.count_if("_sig").alias("num_significant_blocks"))
+
+
+def ever_significant() -> Column:
+    """Whether an object with its num_significant_blocks and units was significant at any block and seen for the least duration."""
+    return F.coalesce((F.col("num_significant_blocks") > 0) & (F.col("units") >= 1), F.lit(False))
+
+
 def derived(objects: DataFrame) -> DataFrame:
     """Centre block: halfway between the first and the last real one, rounded up."""
     return objects.withColumn("centre_block", F.expr("(first_block + last_real_block + 1) div 2"))

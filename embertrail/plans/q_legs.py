@@ -7,9 +7,10 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from embertrail.functions import classes
+from embertrail.functions.text import describe_objects
 from embertrail.operators import annotations, legs, objects as ob
-from embertrail.plans.q_objects import CAT, CFG, _hist_sql, features, objs, sql
-from embertrail.sources.fixtures import table, view
+from embertrail.plans.q_objects import CAT, CFG, HISTORY, NAMED, _hist_sql, features, objs, sql
+from embertrail.sources.fixtures import ctes, table, view
 
 NEAR = replace(CFG, object_max_range_m=60.0)
 RANGES = """placed as materialized (select f.*, drone_n, drone_e, lineal_m, step_id from v_feature f left join v_drone d on d.leg_id = f.leg_id and d.block_id = f.block_id),
@@ -46,8 +47,9 @@ def _pivot(s, d):
 
 
 def _los(s, d):
-    f = features(s, d).withColumn("algorithm", F.when(F.col("block_id") % 3 == 0, "LOS 0.5").when(F.col("block_id") % 3 == 1, "NoResult"))
-    return f.where(ob.is_real() & legs.by_line_of_sight(F.col("algorithm"))).groupBy("object_id").agg(F.round(F.avg("height_m"), 6).alias("height"), F.count("height_m").alias("n"))
+    f = features(s, d).withColumn("height_algorithm", F.when(F.col("block_id") % 3 == 0, "LOS 0.5").when(F.col("block_id") % 3 == 1, "NoResult"))
+    counts = f.where(ob.is_real() & legs.by_line_of_sight(F.col("height_algorithm"))).groupBy("object_id").agg(F.count("height_m").alias("n"))
+    return ob.summarise(f, CFG, False).select("object_id", F.round("height", 6).alias("height")).join(counts, "object_id")
 
 
 def _video(s, d):
@@ -70,6 +72,26 @@ def _named(s, d):
     return legs.id_by_name(ob.names(objs(s, d, False)), "#7")
 
 
+def _ever(s, d):
+    return objs(s, d, False).join(ob.significant_blocks(features(s, d), CFG), "object_id").withColumn("ever", ob.ever_significant())
+
+
+def _described(s, d):
+    return _ever(s, d).groupBy("leg_id").agg(F.count_if("ever").alias("n")).select("leg_id", describe_objects(F.col("n")).alias("objects"))
+
+
+def _details(s, d):
+    drone = _drone(s, d)
+    sections = drone.where("step_id % 3 <> 0").select("step_id", F.concat(F.lit("IMG_"), F.col("step_id").cast("string"), F.lit(".JPG")).alias("image_file_name"))
+    return legs.object_details(ob.names(objs(s, d)), drone, sections, CFG)
+
+
+def _residual(s, d):
+    rays = view(s, d, "v_ray")
+    points = rays.groupBy("object_id").agg((F.max("tx") + 1).alias("east"), F.max("ty").alias("north"), F.max("tz").alias("up"))
+    return legs.triangulation_residual(rays, points).select("object_id", F.round("residual", 4).alias("residual"))
+
+
 PIVOT = ", ".join(f"count(case when size_class = '{x}' then 1 end) as n_{x.lower()}" for x in classes.SIZE_NAMES)
 
 QUERIES = {
@@ -86,5 +108,11 @@ QUERIES = {
     "los_heights": (_los, sql("select object_id, round(avg(height_m), 6) as height, count(height_m) as n from v_feature where type = 'Real' and block_id % 3 = 0 group by object_id", "v_feature", obj=False)),
     "video_gate": (_video, "select p_partkey % 2 = 0 and (p_size - 3) / 1e1 > 0.1e0 and p_size % 7 > 0 and p_size % 5 > 0 as saves, count(*) as n from part group by 1"),
     "frame_times": (_times, "select strftime(timestamp '2024-01-01' + to_milliseconds(o_orderkey % 100000), '%H:%M') as minute, count(*) as n from orders group by 1"),
+    "significant_blocks": (lambda s, d: ob.significant_blocks(features(s, d), CFG), sql("select object_id, num_significant_blocks from hist", "v_feature", more=HISTORY)),
+    "described_objects": (_described, sql("select leg_id, case when count(case when ever then 1 end) > 0 then count(case when ever then 1 end) || ' Objects' else '' end as objects from (select leg_id, num_significant_blocks > 0 and units >= 1 as ever from obj join hist using (object_id)) group by leg_id", "v_feature", more=HISTORY)),
+    "object_details": (_details, sql("select object_id, name, round(first_block / 30e0, 3) as seen_s, size_cm2, max_hot, avg_heat, max_heat, cast(null as int) as num_max_heat, cast(cast(round(round(loc_n, 6)) as bigint) as varchar) || ',' || cast(cast(round(round(loc_e, 6)) as bigint) as varchar) as location, case when step_id % 3 <> 0 then 'IMG_' || step_id || '.JPG' else '' end as image_file_name from named left join v_drone d on d.leg_id = named.leg_id and d.block_id = named.first_block where significant", "v_feature", "v_drone", more=NAMED)),
+    "triangulation_residual": (_residual, f"""with {ctes('v_ray')}, pts as (select object_id as o, max(tx) + 1 as e, max(ty) as n, max(tz) as u from v_ray group by object_id),
+dist as (select object_id, (e - c_e) * (e - c_e) + (n - c_n) * (n - c_n) + (u - c_a) * (u - c_a) - power((e - c_e) * d_e + (n - c_n) * d_n + (u - c_a) * d_a, 2) / nullif(d_e * d_e + d_n * d_n + d_a * d_a, 0) as away from v_ray join pts on o = object_id)
+select object_id, round(sqrt(sum(away * away)), 4) as residual from dist group by object_id"""),
     "draw_scope": (_scope, sql("select leg_id, count(case when block_id between 3 and 12 and type = 'Real' then 1 end) as n_significant, count(case when block_id between 3 and 12 then 1 end) as n_all from v_feature group by leg_id", "v_feature", obj=False)),
 }

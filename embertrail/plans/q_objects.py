@@ -34,6 +34,10 @@ obj as (select err.*, loc.loc_n, loc.loc_e, loc.loc_err, coalesce(max_hot <= 100
 NAMED = """
 named as (select obj.*, case when significant and leg_id > 0 then chr(cast(64 + leg_id as int)) || cast(row_number() over (partition by significant and leg_id > 0, case when significant and leg_id > 0 then leg_id end order by object_id) as varchar)
   else '#' || cast(row_number() over (partition by coalesce(significant and leg_id > 0, false), case when significant and leg_id > 0 then leg_id end order by object_id) as varchar) end as name from obj)"""
+HISTORY = """
+run as (select object_id, type, max(case when type = 'Real' then num_hot end) over w as mh, max(case when type = 'Real' then box_w end) over w as mw, max(case when type = 'Real' then box_h end) over w as mb,
+  count(case when type = 'Real' then 1 end) over w as n, avg(case when type = 'Real' then height_m end) over w as h from v_feature window w as (partition by object_id order by feature_id rows between unbounded preceding and current row)),
+hist as (select object_id, count(case when type = 'Real' and mh <= 1000 and mh > 2 and coalesce(mh / nullif(mw * mb * 0.785e0, 0), 0) >= 0.1 and n * 1000e0 / 30e0 / 500e0 >= 1 and (coalesce(h, -2) > 2 or mh > 4) then 1 end) as num_significant_blocks from run group by object_id)"""
 CAT = "cat as (select * from (select upper(trim(object_name)) as key, category, include, notes, row_number() over (partition by upper(trim(object_name)) order by object_name) as r from v_category) where r = 1)"
 
 
@@ -69,6 +73,11 @@ def _run_results(spark, d):
     return a.join(F.broadcast(b))  # one row each
 
 
+def _ever(spark, d):
+    o = objs(spark, d, False).join(ob.significant_blocks(features(spark, d), CFG), "object_id")
+    return o.agg(F.count_if(ob.ever_significant()).alias("ever"), F.sum("n_real").alias("real_features"))
+
+
 def _grid(spark, d):
     o = ob.names(objs(spark, d)).where(F.col("significant") & F.col("size_class").isin("M", "L", "XL", "XXL") & (F.col("height_class") != "?"))
     g = annotations.annotate(o, view(spark, d, "v_category"))
@@ -173,7 +182,9 @@ def _colours(s, d):
 
 
 def _save(mode):
-    return lambda s, d: tables.savable(objs(s, d, False), mode).groupBy("leg_id").agg(F.count("*").alias("n"))
+    """An object is kept if it was significant at any block."""
+    kept = lambda s, d: objs(s, d, False).join(ob.significant_blocks(features(s, d), CFG), "object_id").withColumn("kept", F.col("num_significant_blocks") > 0)
+    return lambda s, d: tables.savable(kept(s, d), mode, "kept").groupBy("leg_id").agg(F.count("*").alias("n"))
 
 
 def _relink(s, d):
@@ -242,7 +253,7 @@ QUERIES = {
   || case when units >= 4 then 'T3' when units >= 2 then 'T2' when units >= 1 then 'T1' else 't' end || ' ' || case when coalesce(height, -2) > 4 then 'E3' when coalesce(height, -2) > 2 then 'E2' when coalesce(height, -2) >= 0 then 'E1' else 'e' end) as attributes from obj) group by 1""", "v_feature")),
     "object_derived": (lambda s, d: ob.derived(objs(s, d, False)).select("object_id", "first_block", "centre_block", "last_real_block", "last_block"), sql("select object_id, first_block, (first_block + last_real_block + 1) // 2 as centre_block, last_real_block, last_block from obj", "v_feature")),
     "run_results": (_run_results, sql("select (select count(distinct block_id) from v_feature) as n_blocks, (select count(*) from v_feature) as n_features, (select count(*) from v_feature where num_hot >= 8) as n_sig_features, (select cast(sum(num_hot) as bigint) from v_feature) as sum_hot, count(*) as n_objects, count(case when significant then 1 end) as n_sig_objects from obj", "v_feature")),
-    "ever_significant": (lambda s, d: objs(s, d, False).agg(F.count_if(F.col("significant") & (F.col("units") >= 1)).alias("ever"), F.sum("n_real").alias("real_features")), sql("select count(case when significant and units >= 1 then 1 end) as ever, cast(sum(n_real) as bigint) as real_features from obj", "v_feature")),
+    "ever_significant": (_ever, sql("select count(case when num_significant_blocks > 0 and units >= 1 then 1 end) as ever, cast(sum(n_real) as bigint) as real_features from obj join hist using (object_id)", "v_feature", more=HISTORY)),
     "histogram_height": (_hist("height", bin_=lambda: F.bround(F.col("height"))), _hist_sql("round_even(height, 0)")),
     "histogram_size": (_hist("size_cm2", bin_=lambda: (F.col("size_cm2") / 1000).cast("long") + 1), _hist_sql("trunc(size_cm2 / 1000e0) + 1")),
     "histogram_heat": (_heat, _hist_sql("avg_heat - (select min(avg_heat) from obj)")),
@@ -279,7 +290,7 @@ QUERIES = {
     "objects_in_scope": (_in_scope, sql("select object_id, first_block, last_real_block from obj where significant and least(last_real_block * 1000, 20000) - greatest(first_block * 1000, 5000) > 0 and (least(last_real_block * 1000, 20000) - greatest(first_block * 1000, 5000)) / cast(last_real_block * 1000 - first_block * 1000 as double) >= 0.5", "v_feature")),
     "objects_by_leg": (lambda s, d: objs(s, d, False).where("significant and leg_id = 3").select("object_id", "leg_id", "size_class"), sql("select object_id, leg_id, size_class from obj where significant and leg_id = 3", "v_feature")),
     "colour_ramp": (_colours, sql("select cast(least(floor((max_heat - 200) / 6e0), 7) as int) as colour, count(*) as n from v_feature group by 1", "v_feature", obj=False)),
-    "save_significant": (_save("Significant"), sql("select leg_id, count(*) as n from obj where significant group by leg_id", "v_feature")),
+    "save_significant": (_save("Significant"), sql("select leg_id, count(*) as n from obj join hist using (object_id) where num_significant_blocks > 0 group by leg_id", "v_feature", more=HISTORY)),
     "relinked_features": (_relink, sql(f"select f.object_id, count(*) as n, max(case when type = 'Real' then feature_id end) as last_real from v_feature f join obj on obj.object_id = f.object_id where significant group by f.object_id", "v_feature")),
     "leg_spans": (_spans, sql("select leg_id as span_leg, min(first_block) as min_block, max(last_block) as max_block, count(*) as n_sig, round(sum(loc_err), 4) as sum_loc_err, round(sum(height_err), 4) as sum_height_err, round(avg(loc_err), 6) as avg_loc_err, max(last_block) - min(first_block) + 1 as n_blocks from obj where significant and leg_id > 0 group by leg_id", "v_feature")),
     "step_range_objects": (_in_range, sql("select g as span_leg, count(*) as n, min(object_id) as least, max(object_id) as most from obj join (select unnest(generate_series(1, 7)) as g) on leg_id = g and first_block >= 1 and last_real_block <= g * 4 + 12 group by g", "v_feature")),

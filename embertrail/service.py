@@ -138,6 +138,17 @@ class Engine:
         return int(minutes * many), max(minutes * slow, LEAST_MINUTES)
 
 
+def describe(cfg: Config, algorithm: str | None, speed: str = "Max", video: bool = False, save_mode: str = "None") -> str:
+    """What a run does, a line for each setting that matters to it."""
+    lines = [f"Process: {algorithm}"]
+    if algorithm is not None:
+        lines += [f"Speed: {speed}", f"Heat threshold: {cfg.heat_threshold}"]
+        lines += [f"Confidence: {cfg.yolo_confidence}, IoU: {cfg.yolo_iou}"] if algorithm == "Yolo" else []
+        lines += ["Save annotated video."] if video else []
+        lines += {"Significant": ["Save significant objects."], "All": ["Save all objects."]}.get(save_mode, [])
+    return "".join(f"{line}\r\n" for line in lines)
+
+
 def in_leg(objs: DataFrame, leg: int, significant: bool = False) -> DataFrame:
     rows = objs.where(F.col("leg_id") == leg)
     return rows.where("significant") if significant else rows

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from embertrail import schema
 from embertrail.config import Config
 
-SCHEMAS = {"frame": schema.FRAME, "pixel": schema.PIXEL, "flight_step": schema.STEP, "block": schema.BLOCK, "feature": schema.FEATURE, "span": schema.SPAN, "object_category": schema.CATEGORY, "dem": schema.DEM, "detection": schema.DETECTION}
+SCHEMAS = {"frame": schema.FRAME, "pixel": schema.PIXEL, "flight_step": schema.STEP, "block": schema.BLOCK, "feature": schema.FEATURE, "object": schema.OBJECT, "span": schema.SPAN, "object_category": schema.CATEGORY, "dem": schema.DEM, "detection": schema.DETECTION}
 
 
 def read(spark: SparkSession, path: str, name: str, kind: str = "parquet") -> DataFrame:

@@ -250,3 +250,21 @@ def test_rays_past_the_edge_or_a_hole_of_the_grid(spark):
     dem = spark.createDataFrame([(n, 0, 5.0) for n in range(0, 30)], "n_cell int, e_cell int, elev_m double")
     got = {r["k"]: r["step"] for r in spatial.raycast(rays, dem, "k").collect()}
     assert got == {1: 25, 2: 5}
+
+
+def test_significant_blocks_counts_only_while_significant(spark):
+    """Dense and long enough from the second feature on; at the fourth the box grows and the object is significant no more."""
+    cfg = replace(CFG, fps=4.0, object_min_pixels=2, object_min_hot_density=0.5)
+    boxes = [(4, 4), (4, 4), (4, 4), (40, 40)]
+    rows = [(1, i, "Real", 12, w, h, 3.0) for i, (w, h) in enumerate(boxes)] + [(1, 9, "Unreal", 0, 4, 4, None), (2, 20, "Unreal", 50, 4, 4, 3.0)]
+    got = objects.significant_blocks(spark.createDataFrame(rows, "object_id long, feature_id long, type string, num_hot int, box_w int, box_h int, height_m double"), cfg)
+    assert {r["object_id"]: r["num_significant_blocks"] for r in got.collect()} == {1: 2, 2: 0}
+    ever = got.withColumn("units", F.lit(1.0)).withColumn("ever", objects.ever_significant())
+    assert {r["object_id"]: r["ever"] for r in ever.collect()} == {1: True, 2: False}
+
+
+def test_stored_objects(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "C1")], "object_id long, name string").select(*[F.col(f.name) if f.name in ("object_id", "name") else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.OBJECT.fields])
+    tables.write(rows, str(tmp_path / "o"))
+    got = tables.read(spark, str(tmp_path / "o"), "object")
+    assert got.schema == schema.OBJECT and got.first()["name"] == "C1"

@@ -88,3 +88,12 @@ def test_settings_from_json(spark, tmp_path):
 
     (tmp_path / "s.json").write_text('{\n"heat_threshold": 210, "unknown": 1}')
     assert tables.read_settings(spark, str(tmp_path / "s.json")).heat_threshold == 210
+
+
+def test_describe():
+    from embertrail.service import describe
+
+    assert describe(Config(), None) == "Process: None\r\n"
+    lines = describe(Config(heat_threshold=210), "Yolo", "Fast", True, "All").split("\r\n")
+    assert lines == ["Process: Yolo", "Speed: Fast", "Heat threshold: 210", "Confidence: 0.1, IoU: 0.25", "Save annotated video.", "Save all objects.", ""]
+    assert "Confidence" not in describe(Config(), "Comb")
