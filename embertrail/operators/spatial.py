@@ -61,16 +61,18 @@ def raycast(rays: DataFrame, dem: DataFrame, key: str, interpolate: bool = False
 
     Steps above the highest ground cannot hit, and a ray over the grid has hit by the time it is below the lowest ground: these few steps
     are generated, joined to the grid by cell, and the least is taken. Cells outside the grid do not stop a ray, so rays without a hit by
-    then, which ran over its edge or a hole, try their later steps. By default the refined distance runs on past the first step by the
+    then, which ran over its edge or a hole, try their later steps, up to the one that leaves the grid for good. By default the refined distance runs on past the first step by the
     depth below ground, as the original does; interpolate=True goes back instead."""
-    ends = dem.agg(F.min("elev_m").alias("_low"), F.max("elev_m").alias("_high"))
+    ends = dem.agg(F.min("elev_m").alias("_low"), F.max("elev_m").alias("_high"), *[f(f"{c}_cell").alias(f"_{k}_{c}") for c in "ne" for k, f in (("from", F.min), ("to", F.max))])
     down = rays.where(F.col("d_up") < -geo.MIN_SLOPE).join(F.broadcast(ends))  # one row
     first = F.greatest(F.ceil((F.col("altitude") - F.col("_high")) / -F.col("d_up")).cast("int"), F.lit(0))
-    low = F.least(F.ceil((F.col("altitude") - F.col("_low")) / -F.col("d_up")).cast("int"), F.lit(geo.RAY_STEPS - 1))
+    leaves = lambda at, d, c: F.when(F.col(d) > 0, F.floor((F.col(f"_to_{c}") + 1 - F.col(at)) / F.col(d)) + 1).when(F.col(d) < 0, F.floor((F.col(at) - F.col(f"_from_{c}")) / -F.col(d)) + 1)
+    last = F.least(F.lit(float(geo.RAY_STEPS - 1)), leaves("north", "d_n", "n"), leaves("east", "d_e", "e")).cast("int")
+    low = F.least(F.ceil((F.col("altitude") - F.col("_low")) / -F.col("d_up")).cast("int"), last)
     hit = _first_below(down.where(first <= low).withColumn("step", F.explode(F.sequence(first, low))), dem, key)
     later = F.greatest(first, low + 1)
-    rest = down.join(hit.select(key), key, "left_anti").where(later <= geo.RAY_STEPS - 1)
-    hit = hit.unionByName(_first_below(rest.withColumn("step", F.explode(F.sequence(later, F.lit(geo.RAY_STEPS - 1)))), dem, key))
+    rest = down.join(hit.select(key), key, "left_anti").where(later <= last)
+    hit = hit.unionByName(_first_below(rest.withColumn("step", F.explode(F.sequence(later, last))), dem, key))
     depth = (F.col("elev_m") - F.col("p_up")) / -F.col("d_up")
     t = F.col("step") - depth if interpolate else F.col("step") + depth
     return hit.select(key, "step", (F.col("north") + F.col("d_n") * t).alias("hit_n"), (F.col("east") + F.col("d_e") * t).alias("hit_e"), (F.col("altitude") + F.col("d_up") * t).alias("hit_up"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from embertrail.config import Config
 from embertrail.functions import geo, text
-from embertrail.operators import clusters, pixels, spatial, tracker
+from embertrail.operators import clusters, pixels, sight, spatial, tracker
 from embertrail.plans.q_objects import features, objs, sql
 from embertrail.sources.fixtures import ctes, table, view
 
@@ -43,6 +43,21 @@ CAST = f"""st as materialized (select ray.*, k as step, north + d_n * k as p_n,
 hit as materialized (select st.feature_id, min(step) as step from st join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e) where p_up <= elev_m group by 1)"""
 
 
+def _sight(s, d):
+    o, b = F.col("object_id"), F.col("block_id")
+    f = features(s, d).where(F.col("num_hot") >= CFG.feature_min_pixels).select(
+        "feature_id", "box_x", "box_y", "box_w", "box_h", F.col("northing_m").alias("drone_n"), F.col("easting_m").alias("drone_e"), (F.lit(60.0) + b / 10.0).alias("altitude_m"),
+        (o * 7 % 360).alias("yaw_deg"), (F.lit(85) - o % 80).alias("camera_to_vertical_deg"), (o % 50 + 5).alias("distance_down_m"))
+    return sight.line_of_sight(f, view(s, d, "v_dem")).select("feature_id", "height_algorithm", *[F.round(c, 4).alias(c) for c in ("northing_m", "easting_m", "height_m", "confidence")])
+
+
+SEEN = "(object_id % 80 + 5 >= 15 and object_id % 50 + 5 >= 10)"
+SIGHT = RAYS.replace("c as (select feature_id,", "c as (select feature_id * 4 + o as feature_id,").replace("box_w / 2e0 -", "box_w / 2e0 + (case when o = 1 then 1 else 0 end) -").replace("box_h / 2e0 -", "box_h / 2e0 + (case when o = 2 then 1 else 0 end) -")
+SIGHT = SIGHT.replace("cast(30 + object_id % 60 as double)", "cast(object_id % 80 + 5 as double)").replace("from v_feature)", f"from v_feature cross join (select unnest([0, 1, 2]) as o) where num_hot >= 8 and {SEEN})") + ",\n" + CAST + """,
+hits as (select feature_id // 4 as f, feature_id % 4 as o, north + d_n * t as n, east + d_e * t as e, altitude + d_up * t as u from (select st.*, step + (elev_m - p_up) / -d_up as t from st join hit using (feature_id, step) join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e))),
+near as (select h0.f, h0.n, h0.e, h0.u, sqrt(power(h1.n - h0.n, 2) + power(h1.e - h0.e, 2) + power(h1.u - h0.u, 2)) as s1, sqrt(power(h2.n - h0.n, 2) + power(h2.e - h0.e, 2) + power(h2.u - h0.u, 2)) as s2 from hits h0 left join hits h1 on h1.f = h0.f and h1.o = 1 left join hits h2 on h2.f = h0.f and h2.o = 2 where h0.o = 0)"""
+
+
 def _dem(s, d):
     f = features(s, d).select("feature_id", "northing_m", (F.col("easting_m") * 3).alias("easting_m"), F.lit(-1.0).alias("step_dem"))
     return spatial.ground(f, view(s, d, "v_dem"), "northing_m", "easting_m", "step_dem").select("feature_id", F.round("elev_m", 4).alias("elev_m"))
@@ -136,6 +151,7 @@ QUERIES = {
     "camera_ray": (lambda s, d: _rays(s, d).select("feature_id", *[(F.round(c, 8) + 0.0).alias(c) for c in ("d_n", "d_up", "d_e")]), sql("select feature_id, round(d_n, 8) + 0e0 as d_n, round(d_up, 8) + 0e0 as d_up, round(d_e, 8) + 0e0 as d_e from ray", "v_feature", obj=False, more=RAYS)),
     "flat_ground_hit": (_flat, sql("select feature_id, round(case when ok then east + t * d_e end, 5) as hit_e, round(case when ok then north + t * d_n end, 5) as hit_n from (select *, d_up < -1e-6 and sqrt(t * d_e * t * d_e + t * d_n * t * d_n) <= 1000 as ok from (select *, (altitude - 10) / -d_up as t from ray))", "v_feature", obj=False, more=RAYS)),
     "dem_raycast": (_cast, sql("select feature_id, cast(step as int) as step, round(north + d_n * t, 5) as hit_n, round(east + d_e * t, 5) as hit_e, round(altitude + d_up * t, 5) as hit_up from (select st.*, step + (elev_m - p_up) / -d_up as t from st join hit using (feature_id, step) join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e))", "v_feature", "v_dem", obj=False, more=RAYS + ",\n" + CAST)),
+    "feature_los": (_sight, sql(f"select feature_id, case when {SEEN} then case when f is not null then 'LOS' else 'NoResult' end end as height_algorithm, round(n, 4) as northing_m, round(e, 4) as easting_m, round(u - elev_m, 4) as height_m, round(coalesce(1 / (1 + (s1 + s2) / 2), 0), 4) as confidence from v_feature left join near on f = feature_id left join v_dem on n_cell = floor(n) and e_cell = floor(e) where num_hot >= 8", "v_feature", "v_dem", obj=False, more=SIGHT)),
     "dem_lookup": (_dem, sql("select feature_id, round(coalesce(elev_m, -1), 4) as elev_m from v_feature left join v_dem on n_cell = floor(northing_m) and e_cell = floor(easting_m * 3)", "v_feature", "v_dem", obj=False)),
     "triangulate_object": (lambda s, d: spatial.triangulate(view(s, d, "v_ray")).where("n_rays > 1").select("object_id", "n_rays", *[(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north", "up")]),
         f"with {ctes('v_ray')} select object_id, count(*) as n_rays, max(tx) as east, max(ty) as north, max(tz) as up from v_ray group by object_id having count(*) > 1"),
