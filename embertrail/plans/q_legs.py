@@ -83,7 +83,7 @@ def _described(s, d):
 def _details(s, d):
     drone = _drone(s, d)
     sections = drone.where("step_id % 3 <> 0").select("step_id", F.concat(F.lit("IMG_"), F.col("step_id").cast("string"), F.lit(".JPG")).alias("image_file_name"))
-    return legs.object_details(ob.names(objs(s, d)), drone, sections, CFG)
+    return legs.object_details(ob.names(objs(s, d)).withColumn("max_heat_px", F.col("max_hot") % 7), drone, sections, CFG)
 
 
 def _residual(s, d):
@@ -110,7 +110,7 @@ QUERIES = {
     "frame_times": (_times, "select strftime(timestamp '2024-01-01' + to_milliseconds(o_orderkey % 100000), '%H:%M') as minute, count(*) as n from orders group by 1"),
     "significant_blocks": (lambda s, d: ob.significant_blocks(features(s, d), CFG), sql("select object_id, num_significant_blocks from hist", "v_feature", more=HISTORY)),
     "described_objects": (_described, sql("select leg_id, case when count(case when ever then 1 end) > 0 then count(case when ever then 1 end) || ' Objects' else '' end as objects from (select leg_id, num_significant_blocks > 0 and units >= 1 as ever from obj join hist using (object_id)) group by leg_id", "v_feature", more=HISTORY)),
-    "object_details": (_details, sql("select object_id, name, round(first_block / 30e0, 3) as seen_s, size_cm2, max_hot, avg_heat, max_heat, cast(null as int) as num_max_heat, cast(cast(round(round(loc_n, 6)) as bigint) as varchar) || ',' || cast(cast(round(round(loc_e, 6)) as bigint) as varchar) as location, case when step_id % 3 <> 0 then 'IMG_' || step_id || '.JPG' else '' end as image_file_name from named left join v_drone d on d.leg_id = named.leg_id and d.block_id = named.first_block where significant", "v_feature", "v_drone", more=NAMED)),
+    "object_details": (_details, sql("select object_id, name, round(first_block / 30e0, 3) as seen_s, size_cm2, max_hot, avg_heat, max_heat, nullif(max_hot % 7, 0) as num_max_heat, cast(cast(round(round(loc_n, 6)) as bigint) as varchar) || ',' || cast(cast(round(round(loc_e, 6)) as bigint) as varchar) as location, case when step_id % 3 <> 0 then 'IMG_' || step_id || '.JPG' else '' end as image_file_name from named left join v_drone d on d.leg_id = named.leg_id and d.block_id = named.first_block where significant", "v_feature", "v_drone", more=NAMED)),
     "triangulation_residual": (_residual, f"""with {ctes('v_ray')}, pts as (select object_id as o, max(tx) + 1 as e, max(ty) as n, max(tz) as u from v_ray group by object_id),
 dist as (select object_id, (e - c_e) * (e - c_e) + (n - c_n) * (n - c_n) + (u - c_a) * (u - c_a) - power((e - c_e) * d_e + (n - c_n) * d_n + (u - c_a) * d_a, 2) / nullif(d_e * d_e + d_n * d_n + d_a * d_a, 0) as away from v_ray join pts on o = object_id)
 select object_id, round(sqrt(sum(away * away)), 4) as residual from dist group by object_id"""),
