@@ -9,6 +9,7 @@ from embertrail.config import Config
 from embertrail.functions import geo, text
 from embertrail.operators.frames import mean_of_ends
 from embertrail.operators.objects import is_real
+from embertrail.operators.spatial import ground
 
 
 def with_drone(features: DataFrame, drone: DataFrame) -> DataFrame:
@@ -111,3 +112,27 @@ def triangulation_residual(rays: DataFrame, points: DataFrame) -> DataFrame:
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
     away = dot(v, v) - F.try_divide(dot(v, d) * dot(v, d), dot(d, d))
     return near.groupBy("object_id").agg(F.sqrt(F.sum(away * away)).alias("residual"))
+
+
+def swathe(drone: DataFrame, half_m: int) -> DataFrame:
+    """leg_id, n_cell, e_cell: each square metre of ground within half_m of the drone's cell at any step, once a leg. Standing still adds
+    nothing, as cells are made distinct before they are spread."""
+    over = drone.select("leg_id", F.floor("drone_n").alias("n"), F.floor("drone_e").alias("e")).where("n is not null and e is not null").distinct()
+    around = F.sequence(F.lit(-half_m), F.lit(half_m))
+    rows = over.withColumn("n_cell", F.explode(F.transform(around, lambda x: x + F.col("n")))).drop("n").distinct()
+    return rows.withColumn("e_cell", F.explode(F.transform(around, lambda x: x + F.col("e")))).drop("e").distinct()
+
+
+def key_results(objects: DataFrame, seen: DataFrame) -> DataFrame:
+    """leg_id, animals, swathe_km2, density: significant objects to the square kilometre of ground seen; 0 where none was seen."""
+    area = seen.groupBy("leg_id").agg((F.count("*") / 1e6).alias("swathe_km2"))
+    found = objects.groupBy("leg_id").agg(F.count_if("significant").alias("animals")).join(area, "leg_id", "left")
+    return found.select("leg_id", "animals", F.coalesce("swathe_km2", F.lit(0.0)).alias("swathe_km2"), F.coalesce(F.try_divide("animals", "swathe_km2"), F.lit(0.0)).alias("density"))
+
+
+def elevation_bars(objects: DataFrame, ranges: DataFrame, dem: DataFrame) -> DataFrame:
+    """A bar for each significant object: from its least to its greatest height over the ground at its place, along the drone's way, as wide
+    as its place is uncertain. Null where the grid ends."""
+    at = ground(objects.where("significant").join(ranges.select("object_id", "avg_lineal_m"), "object_id", "left"), dem, "loc_n", "loc_e")
+    up = lambda c: F.col("elev_m") + F.col(c)
+    return at.select("object_id", up("min_height").alias("bottom"), up("height").alias("middle"), up("max_height").alias("top"), (F.col("avg_lineal_m") - F.col("loc_err")).alias("from_m"), (F.col("avg_lineal_m") + F.col("loc_err")).alias("to_m"))

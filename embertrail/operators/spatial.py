@@ -66,7 +66,8 @@ def raycast(rays: DataFrame, dem: DataFrame, key: str, interpolate: bool = False
     ends = dem.agg(F.min("elev_m").alias("_low"), F.max("elev_m").alias("_high"), *[f(f"{c}_cell").alias(f"_{k}_{c}") for c in "ne" for k, f in (("from", F.min), ("to", F.max))])
     down = rays.where(F.col("d_up") < -geo.MIN_SLOPE).join(F.broadcast(ends))  # one row
     first = F.greatest(F.ceil((F.col("altitude") - F.col("_high")) / -F.col("d_up")).cast("int"), F.lit(0))
-    leaves = lambda at, d, c: F.when(F.col(d) > 0, F.floor((F.col(f"_to_{c}") + 1 - F.col(at)) / F.col(d)) + 1).when(F.col(d) < 0, F.floor((F.col(at) - F.col(f"_from_{c}")) / -F.col(d)) + 1)
+    bounded = lambda x: F.floor(F.greatest(F.least(x, F.lit(float(geo.RAY_STEPS))), F.lit(-1.0))) + 1
+    leaves = lambda at, d, c: F.when(F.col(d) > 0, bounded((F.col(f"_to_{c}") + 1 - F.col(at)) / F.col(d))).when(F.col(d) < 0, bounded((F.col(at) - F.col(f"_from_{c}")) / -F.col(d)))
     last = F.least(F.lit(float(geo.RAY_STEPS - 1)), leaves("north", "d_n", "n"), leaves("east", "d_e", "e")).cast("int")
     low = F.least(F.ceil((F.col("altitude") - F.col("_low")) / -F.col("d_up")).cast("int"), last)
     hit = _first_below(down.where(first <= low).withColumn("step", F.explode(F.sequence(first, low))), dem, key)

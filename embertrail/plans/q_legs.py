@@ -92,6 +92,16 @@ def _residual(s, d):
     return legs.triangulation_residual(rays, points).select("object_id", F.round("residual", 4).alias("residual"))
 
 
+def _bars(s, d):
+    bars = legs.elevation_bars(objs(s, d), _ranges(s, d), view(s, d, "v_dem"))
+    return bars.select("object_id", *[F.round(c, 4).alias(c) for c in bars.columns[1:]])
+
+
+def _key_results(s, d):
+    got = legs.key_results(objs(s, d, False), legs.swathe(_drone(s, d), 5))
+    return got.select("leg_id", "animals", F.round("swathe_km2", 6).alias("swathe_km2"), F.round("density", 4).alias("density"))
+
+
 PIVOT = ", ".join(f"count(case when size_class = '{x}' then 1 end) as n_{x.lower()}" for x in classes.SIZE_NAMES)
 
 QUERIES = {
@@ -114,5 +124,7 @@ QUERIES = {
     "triangulation_residual": (_residual, f"""with {ctes('v_ray')}, pts as (select object_id as o, max(tx) + 1 as e, max(ty) as n, max(tz) as u from v_ray group by object_id),
 dist as (select object_id, (e - c_e) * (e - c_e) + (n - c_n) * (n - c_n) + (u - c_a) * (u - c_a) - power((e - c_e) * d_e + (n - c_n) * d_n + (u - c_a) * d_a, 2) / nullif(d_e * d_e + d_n * d_n + d_a * d_a, 0) as away from v_ray join pts on o = object_id)
 select object_id, round(sqrt(sum(away * away)), 4) as residual from dist group by object_id"""),
+    "elevation_bars": (_bars, sql("select object_id, round(elev_m + min_height, 4) as bottom, round(elev_m + height, 4) as middle, round(elev_m + max_height, 4) as top, round(avg_lineal_m - loc_err, 4) as from_m, round(avg_lineal_m + loc_err, 4) as to_m from obj left join rng using (object_id) left join v_dem on n_cell = floor(obj.loc_n) and e_cell = floor(obj.loc_e) where significant", "v_feature", "v_drone", "v_dem", more=RANGES)),
+    "key_results_density": (_key_results, sql("select leg_id, animals, round(m2 / 1e6, 6) as swathe_km2, round(animals / (m2 / 1e6), 4) as density from (select leg_id, count(case when significant then 1 end) as animals from obj group by leg_id) join (select leg_id, count(*) as m2 from seen group by leg_id) using (leg_id)", "v_feature", "v_drone", more="seen as (select distinct leg_id, floor(drone_n) + a as n, floor(drone_e) + b as e from v_drone, (select unnest(generate_series(-5, 5)) as a), (select unnest(generate_series(-5, 5)) as b))")),
     "draw_scope": (_scope, sql("select leg_id, count(case when block_id between 3 and 12 and type = 'Real' then 1 end) as n_significant, count(case when block_id between 3 and 12 then 1 end) as n_all from v_feature group by leg_id", "v_feature", obj=False)),
 }

@@ -268,3 +268,28 @@ def test_stored_objects(spark, tmp_path):
     tables.write(rows, str(tmp_path / "o"))
     got = tables.read(spark, str(tmp_path / "o"), "object")
     assert got.schema == schema.OBJECT and got.first()["name"] == "C1"
+
+
+def test_swathe_and_density(spark):
+    from embertrail.operators import legs
+
+    drone = spark.createDataFrame([(1, 0.5, 0.5), (1, 0.6, 0.7), (1, 0.5, 1.5), (2, None, 3.0)], "leg_id int, drone_n double, drone_e double")
+    seen = legs.swathe(drone, 1)
+    assert seen.count() == 12 and seen.where("leg_id = 2").count() == 0
+    objs = spark.createDataFrame([(1, True), (1, True), (1, False), (2, True)], "leg_id int, significant boolean")
+    assert {r["leg_id"]: (r["animals"], r["density"]) for r in legs.key_results(objs, seen).collect()} == {1: (2, pytest.approx(2 / 12e-6)), 2: (1, 0.0)}
+
+
+def test_line_of_sight_over_level_ground(spark):
+    """Straight down the middle of the image is below the drone: the step after 50.5 m is half a metre deep, and the refined distance runs on
+    by as much, so the hit is a metre below ground. Without a view nothing is set; off the grid there is no result."""
+    from embertrail.operators import sight
+
+    dem = spark.range(0, 40).selectExpr("cast(id as int) as n_cell").crossJoin(spark.range(0, 40).selectExpr("cast(id as int) as e_cell")).withColumn("elev_m", F.lit(10.0))
+    rows = [(1, 310, 246, 20, 20, 20.0, 20.0, 60.5, 0.0, 0.0, 50.0), (2, 310, 246, 20, 20, 20.0, 20.0, 60.0, 0.0, 80.0, 50.0), (3, 310, 246, 20, 20, 20.0, 20.0, 60.0, 0.0, 0.0, 5.0),
+            (4, 310, 246, 20, 20, 900.0, 20.0, 60.0, 0.0, 0.0, 50.0), (5, 310, 246, 20, 20, None, 20.0, 60.0, 0.0, 0.0, 50.0)]
+    f = spark.createDataFrame(rows, "feature_id long, box_x int, box_y int, box_w int, box_h int, drone_n double, drone_e double, altitude_m double, yaw_deg double, camera_to_vertical_deg double, distance_down_m double")
+    got = {r["feature_id"]: r for r in sight.line_of_sight(f, dem).collect()}
+    assert [got[i]["height_algorithm"] for i in range(1, 6)] == ["LOS", None, None, "NoResult", None]
+    assert (got[1]["northing_m"], got[1]["easting_m"], got[1]["height_m"]) == pytest.approx((20.0, 20.0, -1.0), abs=1e-6) and 0.9 < got[1]["confidence"] < 1
+    assert got[4]["confidence"] == 0.0 and got[4]["northing_m"] is None
