@@ -28,6 +28,16 @@ def overlap_pairs(features: DataFrame, perc: int) -> DataFrame:
     return met.select("block_id", F.col("feature_id").alias("a"), F.col("b_feature_id").alias("b"), one.overlap_area(two).alias("area"))
 
 
+def heat_in_boxes(boxes: DataFrame, pixels: DataFrame, key: str, threshold: int) -> DataFrame:
+    """Boxes (block_id, key, box) with the heat of the hot pixels (block_id, y, x, heat) in them: num_hot, sum_hot (0 without any), min_heat,
+    max_heat (null). What a detector's boxes need to be features. An equality join on block and grid cell."""
+    hot = pixels.where(F.col("heat") > threshold).select("block_id", "x", "y", "heat", (F.col("x") / CELL).cast("int").alias("_cx"), (F.col("y") / CELL).cast("int").alias("_cy"))
+    box = _cells(boxes.select("block_id", key, "box_x", "box_y", "box_w", "box_h"))
+    inside = (F.col("x") >= F.col("box_x")) & (F.col("x") < F.col("box_x") + F.col("box_w")) & (F.col("y") >= F.col("box_y")) & (F.col("y") < F.col("box_y") + F.col("box_h"))
+    sums = box.join(hot, ["block_id", "_cx", "_cy"]).where(inside).groupBy(key).agg(F.count("*").alias("num_hot"), F.sum("heat").alias("sum_hot"), F.min("heat").alias("min_heat"), F.max("heat").alias("max_heat"))
+    return boxes.join(sums, key, "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("num_hot", "sum_hot")})
+
+
 def contained_pairs(clusters: DataFrame) -> DataFrame:
     """Pairs of clusters of one frame where the first one's box holds the second's."""
     b = clusters.select("block_id", *[F.col(c).alias(f"b_{c}") for c in ("cluster", "box_x", "box_y", "box_w", "box_h")])

@@ -58,6 +58,13 @@ hits as (select feature_id // 4 as f, feature_id % 4 as o, north + d_n * t as n,
 near as (select h0.f, h0.n, h0.e, h0.u, sqrt(power(h1.n - h0.n, 2) + power(h1.e - h0.e, 2) + power(h1.u - h0.u, 2)) as s1, sqrt(power(h2.n - h0.n, 2) + power(h2.e - h0.e, 2) + power(h2.u - h0.u, 2)) as s2 from hits h0 left join hits h1 on h1.f = h0.f and h1.o = 1 left join hits h2 on h2.f = h0.f and h2.o = 2 where h0.o = 0)"""
 
 
+def _detected(s, d):
+    pixels = view(s, d, "v_pixel")
+    boxes = pixels.select("block_id").distinct().select("block_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
+    boxes = boxes.select("block_id", (F.col("block_id") * 2 + F.col("i")).alias("detection"), (F.lit(10) + F.col("i") * 80).alias("box_x"), (F.lit(10) + F.col("i") * 10).alias("box_y"), (F.lit(80) + F.col("i") * 20).alias("box_w"), F.lit(60).alias("box_h"))
+    return spatial.heat_in_boxes(boxes, pixels, "detection", CFG.heat_threshold).select("detection", "num_hot", "sum_hot", "min_heat", "max_heat")
+
+
 def _dem(s, d):
     f = features(s, d).select("feature_id", "northing_m", (F.col("easting_m") * 3).alias("easting_m"), F.lit(-1.0).alias("step_dem"))
     return spatial.ground(f, view(s, d, "v_dem"), "northing_m", "easting_m", "step_dem").select("feature_id", F.round("elev_m", 4).alias("elev_m"))
@@ -152,6 +159,7 @@ QUERIES = {
     "flat_ground_hit": (_flat, sql("select feature_id, round(case when ok then east + t * d_e end, 5) as hit_e, round(case when ok then north + t * d_n end, 5) as hit_n from (select *, d_up < -1e-6 and sqrt(t * d_e * t * d_e + t * d_n * t * d_n) <= 1000 as ok from (select *, (altitude - 10) / -d_up as t from ray))", "v_feature", obj=False, more=RAYS)),
     "dem_raycast": (_cast, sql("select feature_id, cast(step as int) as step, round(north + d_n * t, 5) as hit_n, round(east + d_e * t, 5) as hit_e, round(altitude + d_up * t, 5) as hit_up from (select st.*, step + (elev_m - p_up) / -d_up as t from st join hit using (feature_id, step) join v_dem on n_cell = floor(p_n) and e_cell = floor(p_e))", "v_feature", "v_dem", obj=False, more=RAYS + ",\n" + CAST)),
     "feature_los": (_sight, sql(f"select feature_id, case when {SEEN} then case when f is not null then 'LOS' else 'NoResult' end end as height_algorithm, round(n, 4) as northing_m, round(e, 4) as easting_m, round(u - elev_m, 4) as height_m, round(coalesce(1 / (1 + (s1 + s2) / 2), 0), 4) as confidence from v_feature left join near on f = feature_id left join v_dem on n_cell = floor(n) and e_cell = floor(e) where num_hot >= 8", "v_feature", "v_dem", obj=False, more=SIGHT)),
+    "detection_heat": (_detected, f"with {ctes('v_pixel')}, box as (select block_id, block_id * 2 + i as detection, 10 + i * 80 as bx, 10 + i * 10 as b_y, 80 + i * 20 as bw from (select distinct block_id from v_pixel), (select unnest([0, 1]) as i)) select detection, count(heat) as num_hot, cast(coalesce(sum(heat), 0) as bigint) as sum_hot, min(heat) as min_heat, max(heat) as max_heat from box left join v_pixel p on p.block_id = box.block_id and heat > 125 and x >= bx and x < bx + bw and y >= b_y and y < b_y + 60 group by detection"),
     "dem_lookup": (_dem, sql("select feature_id, round(coalesce(elev_m, -1), 4) as elev_m from v_feature left join v_dem on n_cell = floor(northing_m) and e_cell = floor(easting_m * 3)", "v_feature", "v_dem", obj=False)),
     "triangulate_object": (lambda s, d: spatial.triangulate(view(s, d, "v_ray")).where("n_rays > 1").select("object_id", "n_rays", *[(F.round(c, 4) + 0.0).alias(c) for c in ("east", "north", "up")]),
         f"with {ctes('v_ray')} select object_id, count(*) as n_rays, max(tx) as east, max(ty) as north, max(tz) as up from v_ray group by object_id having count(*) > 1"),
