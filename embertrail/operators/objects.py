@@ -26,6 +26,13 @@ def length_cm(pixels: Column, area_m2: Column, cfg: Config) -> Column:
     return F.greatest(pixels * F.sqrt(area_m2 * F.lit(1e4) / F.lit(float(cfg.image_width * cfg.image_height))), F.lit(1.0))
 
 
+def steady_mean(x: Column) -> Column:
+    """Mean that no order of rows changes: decimals of 12 places add exactly, so a mean on a cell's edge stays in its cell. Plain where a value
+    is not finite or beyond 1e12."""
+    far, held = F.count_if(~(F.abs(x) < 1e12)), F.when(F.abs(x) < 1e12, x).cast("decimal(25,12)")
+    return F.when(far == 0, F.try_divide(F.sum(held).cast("double"), F.count(x))).otherwise(F.avg(x))
+
+
 def locations(features: DataFrame) -> DataFrame:
     """object_id, loc_n, loc_e, loc_err: centroid and mean distance to it.
 
@@ -34,7 +41,7 @@ def locations(features: DataFrame) -> DataFrame:
     counted = is_real() & F.col("northing_m").isNotNull() & (F.col("height_m").isNull() | (F.col("height_m") != 0))
     centres = features.groupBy("object_id").agg(
         F.count("*").alias("n_features"), F.count_if(counted).alias("n_loc"),
-        F.avg(F.when(counted, F.col("northing_m"))).alias("c_n"), F.avg(F.when(counted, F.col("easting_m"))).alias("c_e"),
+        steady_mean(F.when(counted, F.col("northing_m"))).alias("c_n"), steady_mean(F.when(counted, F.col("easting_m"))).alias("c_e"),
         F.max("northing_m").alias("only_n"), F.max("easting_m").alias("only_e"))
     near = features.where(is_real() & F.col("northing_m").isNotNull()).select("object_id", "northing_m", "easting_m").join(centres.select("object_id", "c_n", "c_e"), "object_id")
     d_n, d_e = F.col("northing_m") - F.col("c_n"), F.col("easting_m") - F.col("c_e")

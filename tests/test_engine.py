@@ -228,6 +228,15 @@ def test_choose_k_and_adjust(spark):
     assert out == {1: 1, 2: 1, 3: 2, 4: 2}
 
 
+def test_mean_places_do_not_depend_on_the_order_of_rows(spark):
+    """A mean of 40 stays in cell 40 in any order: plain sums of these tenths come out below."""
+    for v in ([72.1, 63.8, 52.2, 3.9, 38.8, 9.2], sorted([72.1, 63.8, 52.2, 3.9, 38.8, 9.2])):
+        f = spark.createDataFrame([(1, i, "Real", x, x, 2.0) for i, x in enumerate(v)], "object_id long, feature_id long, type string, northing_m double, easting_m double, height_m double").coalesce(1)
+        assert list(objects.locations(f).select("loc_n", "loc_e").first()) == [40.0, 40.0]
+    odd = spark.createDataFrame([(1, 1, "Real", math.inf, 1.0, 2.0), (1, 2, "Real", 1.0, None, 2.0)], "object_id long, feature_id long, type string, northing_m double, easting_m double, height_m double")
+    assert list(objects.locations(odd).select("loc_n", "loc_e").first()) == [math.inf, 1.0]
+
+
 def test_no_rows_break_what_always_holds(spark):
     """Features hold their pixels, time runs forward, weights lie in 0..1, and no step joined as before lies after."""
     from embertrail.plans import q_space, q_telemetry
