@@ -81,45 +81,74 @@ def orphans(points: DataFrame, kept: DataFrame) -> DataFrame:
     return points.join(kept.select("feature"), "feature", "left_anti")
 
 
+def _joined(x: np.ndarray, y: np.ndarray, time: np.ndarray, cluster: np.ndarray, loose: np.ndarray, cfg: Config, per_slice: float) -> list[tuple[int, int]]:
+    """(row, cluster) of the loose rows that join a cluster, in order. A row looks at every centre once; from then on only at the centres
+    that have moved since it looked last, and at all again where its nearest is one of them."""
+    inside = np.ones(len(x), bool)
+    inside[loose] = False
+    ids, at = np.unique(cluster[inside], return_inverse=True)
+    n, sx, sy = np.bincount(at), np.bincount(at, x[inside]), np.bincount(at, y[inside])
+    top, late = np.full(len(ids), -np.inf), np.full(len(ids), -np.inf)
+    np.maximum.at(top, at, y[inside])
+    np.maximum.at(late, at, time[inside])
+    cx, cy = sx / n, sy / n
+
+    def nearest(r: int, some: np.ndarray | slice) -> tuple[float, int]:
+        dx, dy = cx[some] - x[r], cy[some] - y[r]
+        d = dx * dx + dy * dy
+        i = int(np.argmin(d))
+        if d[i] != d[i]:  # not a number: never the nearest
+            d = np.where(np.isnan(d), np.inf, d)
+            i = int(np.argmin(d))
+        return float(d[i]), i
+
+    rest = [[int(r), 0.0, -1, 0] for r in loose]  # row, distance and number of the nearest, centres moved when it looked
+    moves, out, moved = [], [], True
+    while rest and moved:
+        moved, left = False, []
+        for one in rest:
+            r, d, c, seen = one
+            if c < 0:
+                d, c = nearest(r, slice(None))
+            elif seen < len(moves):
+                some = np.unique(moves[seen:])
+                if c in some:
+                    d, c = nearest(r, slice(None))
+                else:
+                    e, i = nearest(r, some)
+                    d, c = min((d, c), (e, int(some[i])))
+            else:  # nothing moved: as before
+                left.append(one)
+                continue
+            up = y[r] - top[c]
+            if abs(up) <= cfg.yolo_max_y_delta - per_slice and up >= -per_slice and abs(x[r] - cx[c]) <= cfg.yolo_max_x_delta and time[r] - late[c] <= cfg.yolo_max_time_gap:
+                out.append((r, int(ids[c])))
+                n[c], sx[c], sy[c] = n[c] + 1, sx[c] + x[r], sy[c] + y[r]
+                cx[c], cy[c], top[c], late[c] = sx[c] / n[c], sy[c] / n[c], max(top[c], y[r]), max(late[c], time[r])
+                moves.append(c)
+                moved = True
+            else:
+                one[1:] = d, c, len(moves)
+                left.append(one)
+        rest = left
+    return out
+
+
 def adjust(points: DataFrame, cfg: Config, per_slice: float, leg: str = "leg_id") -> DataFrame:
     """Shrinks each cluster of a leg to its valid members, then lets orphans join the cluster with the nearest centre if it is within
     limits, until no one moves. Sequential by nature (each join moves a centre), so it runs per leg."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["cluster", "time", "feature"], kind="stable").to_dict("records")
-        kept, loose, last = [], [], {}
-        for r in rows:
-            p = last.get(r["cluster"])
-            last[r["cluster"]] = r
-            dy = 0 if p is None else r["y"] - p["y"]
-            fine = p is None or (abs(dy) <= cfg.yolo_max_y_delta - per_slice and dy >= -per_slice and abs(r["x"] - p["x"]) <= cfg.yolo_max_x_delta and 0 < r["time"] - p["time"] <= cfg.yolo_max_time_gap)
-            (kept if fine else loose).append(r)
-        stats: dict[int, list[float]] = {}  # n, sum x, sum y, max y, max time
-
-        def add(r: dict, cluster: int) -> None:
-            s = stats.setdefault(cluster, [0, 0.0, 0.0, float("-inf"), float("-inf")])
-            s[0] += 1
-            s[1] += r["x"]
-            s[2] += r["y"]
-            s[3], s[4] = max(s[3], r["y"]), max(s[4], r["time"])
-
-        for r in kept:
-            add(r, r["cluster"])
-        loose.sort(key=lambda r: r["feature"])
-        moved = True
-        while loose and moved:
-            moved, rest = False, []
-            for r in loose:
-                c = min(stats, key=lambda c: ((r["x"] - stats[c][1] / stats[c][0]) ** 2 + (r["y"] - stats[c][2] / stats[c][0]) ** 2, c))
-                n, sx, _, top, late = stats[c]
-                if abs(r["y"] - top) <= cfg.yolo_max_y_delta - per_slice and r["y"] - top >= -per_slice and abs(r["x"] - sx / n) <= cfg.yolo_max_x_delta and r["time"] - late <= cfg.yolo_max_time_gap:
-                    kept.append(r | {"cluster": c})
-                    add(r, c)
-                    moved = True
-                else:
-                    rest.append(r)
-            loose = rest
-        return pd.DataFrame(kept, columns=pdf.columns)
+        pdf = pdf.sort_values(["cluster", "time", "feature"], kind="stable")
+        x, y, time = (pdf[c].to_numpy(float) for c in ("x", "y", "time"))
+        cluster, feature = pdf["cluster"].to_numpy(), pdf["feature"].to_numpy()
+        dx, dy, dt = (np.diff(v, prepend=np.nan) for v in (x, y, time))
+        fine = (np.abs(dy) <= cfg.yolo_max_y_delta - per_slice) & (dy >= -per_slice) & (np.abs(dx) <= cfg.yolo_max_x_delta) & (dt > 0) & (dt <= cfg.yolo_max_time_gap)
+        fine |= np.r_[True, cluster[1:] != cluster[:-1]]
+        loose = np.flatnonzero(~fine)
+        joined = _joined(x, y, time, cluster, loose[np.argsort(feature[loose], kind="stable")], cfg, per_slice)
+        rows, to = np.array([r for r, _ in joined], int), np.array([c for _, c in joined], cluster.dtype)
+        return pd.concat([pdf[fine], pdf.iloc[rows].assign(cluster=to)], ignore_index=True)
 
     ready(points.sparkSession)
     return points.groupBy(leg).applyInPandas(run, points.schema)

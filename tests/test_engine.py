@@ -228,6 +228,53 @@ def test_choose_k_and_adjust(spark):
     assert out == {1: 1, 2: 1, 3: 2, 4: 2}
 
 
+def test_adjust_against_the_plain_loop():
+    """Many orphans and clusters: the same rows join the same clusters as by looking at all centres each time, in a time the plain loop
+    needs for a small part of them."""
+    import time as clock
+
+    def plain(x, y, t, cluster, loose):
+        stats = {}
+
+        def add(r, c):
+            s = stats.setdefault(c, [0, 0.0, 0.0, -np.inf, -np.inf])
+            s[:] = s[0] + 1, s[1] + x[r], s[2] + y[r], max(s[3], y[r]), max(s[4], t[r])
+
+        for r in sorted(set(range(len(x))) - set(loose)):
+            add(r, cluster[r])
+        out, moved = [], True
+        while loose and moved:
+            moved, rest = False, []
+            for r in loose:
+                c = min(stats, key=lambda c: ((x[r] - stats[c][1] / stats[c][0]) ** 2 + (y[r] - stats[c][2] / stats[c][0]) ** 2, c))
+                n, sx, _, top, late = stats[c]
+                if abs(y[r] - top) <= 24.5 and y[r] - top >= -0.5 and abs(x[r] - sx / n) <= 10 and t[r] - late <= 5:
+                    out.append((r, c))
+                    add(r, c)
+                    moved = True
+                else:
+                    rest.append(r)
+            loose = rest
+        return out
+
+    def case(n, k, seed):
+        rng = np.random.default_rng(seed)
+        x, y, t = rng.integers(0, 15, n).astype(float), rng.integers(0, 100, n) / 2 + rng.integers(0, 2, n) * 40, rng.integers(0, 30, n).astype(float)
+        return x, y, t, rng.integers(0, k, n), [int(r) for r in rng.permutation(np.arange(k, n))[: n * 3 // 4]]
+
+    moved = 0
+    for seed in range(20):
+        x, y, t, c, loose = case(300, 12, seed)
+        want = plain(x, y, t, c, loose)
+        moved += len(want)
+        assert clusters._joined(x, y, t, c, np.array(loose), CFG, 0.5) == [(r, int(k)) for r, k in want]
+    assert moved > 100
+    x, y, t, c, loose = case(12000, 1000, 1)
+    began = clock.time()
+    clusters._joined(x, y, t, c, np.array(loose), CFG, 0.5)
+    assert clock.time() - began < 8  # the plain loop looks at 9 million centres each time round, at about a microsecond each
+
+
 def test_mean_places_do_not_depend_on_the_order_of_rows(spark):
     """A mean of 40 stays in cell 40 in any order: plain sums of these tenths come out below."""
     for v in ([72.1, 63.8, 52.2, 3.9, 38.8, 9.2], sorted([72.1, 63.8, 52.2, 3.9, 38.8, 9.2])):
