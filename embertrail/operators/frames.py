@@ -82,8 +82,13 @@ def los_confidence(hits: DataFrame, key: str) -> DataFrame:
     """Rows (key, offset 0 / 1 / 2, hit_e, hit_n, hit_up) for a pixel and its neighbours right and below -> confidence of each key; 0 if a neighbour has no hit."""
     at = lambda k, c: F.max(F.when(F.col("offset") == k, F.col(c)))
     wide = hits.groupBy(key).agg(*[at(k, f"hit_{c}").alias(f"{c}{k}") for k in range(3) for c in ("e", "n", "up")])
+    return wide.select(key, shift_confidence().alias("confidence"))
+
+
+def shift_confidence() -> Column:
+    """The same of a row with the three hits as e0, n0, up0, e1 and so on."""
     shift = lambda k: F.sqrt(sum(((F.col(f"{c}{k}") - F.col(f"{c}0")) * (F.col(f"{c}{k}") - F.col(f"{c}0")) for c in ("n", "up")), (F.col(f"e{k}") - F.col("e0")) * (F.col(f"e{k}") - F.col("e0"))))
-    return wide.select(key, F.coalesce(geo.confidence((shift(1) + shift(2)) / 2), F.lit(0.0)).alias("confidence"))
+    return F.coalesce(geo.confidence((shift(1) + shift(2)) / 2), F.lit(0.0))
 
 
 def altitude_fix(errors: DataFrame, least_gain_m: float = 0.1) -> DataFrame:

@@ -251,6 +251,30 @@ def test_overlap_counts_of_many_copies(spark):
     assert [tuple(r) for r in spatial.overlap_counts(df, 5).collect()] == [(1, m * (m - 1) + m * m, m * (m - 1) * 20 + m * m * 15)]
 
 
+def test_rays_over_a_held_grid_are_not_moved(spark, monkeypatch):
+    """As by joining steps to the grid, holes and edges included, without an exchange; a grid too large to hold, or with a cell twice, is joined."""
+    from embertrail.operators import sight
+
+    rng = np.random.default_rng(5)
+    dem = spark.createDataFrame([(n, e, 5 + ((n * 7 + e * 13) % 25) / 5) for n in range(-3, 60) for e in range(60) if (n + e) % 7], "n_cell int, e_cell int, elev_m double")
+    rows = [(i, 9 * i % 600, 11 * i % 480, 20, 20, float(rng.uniform(-9, 70)), float(rng.uniform(-9, 70)), float(rng.uniform(8, 80)), i * 7 % 360, i * 3 % 90, i % 40) for i in range(400)]
+    f = spark.createDataFrame(rows, "feature_id long, box_x int, box_y int, box_w int, box_h int, drone_n double, drone_e double, altitude_m double, yaw_deg int, camera_to_vertical_deg int, distance_down_m int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    held, cast = sight.line_of_sight(f, dem), spatial.raycast(sight.rays(f), dem, "_ray")
+    assert "Exchange" not in plan(held) and "Exchange" not in plan(cast) and plan(cast).count("ArrowEvalPython") == 1
+    monkeypatch.setattr(spatial, "HELD_CELLS", 100)
+    joined, steps = sight.line_of_sight(f, dem), spatial.raycast(sight.rays(f), dem, "_ray")
+    assert "Exchange" in plan(joined)
+    tell = lambda df, c: {r[0]: tuple(round(x, 9) if isinstance(x, float) else x for x in r[1:]) for r in df.select(*c).collect()}
+    c = ["feature_id", "height_algorithm", "northing_m", "easting_m", "height_m", "confidence"]
+    got = tell(held, c)
+    assert got == tell(joined, c) and sum(v[0] == "LOS" for v in got.values()) > 50 and sum(v[0] == "NoResult" for v in got.values()) > 20
+    c = ["_ray", "step", "hit_n", "hit_e", "hit_up"]
+    assert tell(cast, c) == tell(steps, c)
+    monkeypatch.undo()
+    assert spatial.held_grid(dem.union(dem.limit(1))) is None and spatial.held_grid(dem.limit(0)) is None
+
+
 def test_adjust_against_the_plain_loop():
     """Many orphans and clusters: the same rows join the same clusters as by looking at all centres each time, in a time the plain loop
     needs for a small part of them."""
