@@ -6,43 +6,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertrail.config import Config
 from embertrail.functions.runtime import ready
 
+#: Rows whose distances to a block are held at once; they stay in a core's cache.
+ROWS_AT_ONCE = 64
+#: Bytes of vectors of the others that a task of the silhouette meets, and the most parts of its own points.
+RIGHT_BYTES, MOST_LEFT = 64 << 20, 512
+
 
 def drift_corrected(y: Column, time: Column, per_slice: float) -> Column:
     return y - time * F.lit(per_slice)
 
 
-def silhouette(points: DataFrame, key: str, vec: str, label: str, block_rows: int = 512) -> DataFrame:
-    """Euclidean silhouette of each point: (b - a) / max(a, b), with a = 0 for a cluster of one and null for one cluster alone.
+def _distance_sums(a: np.ndarray, b: np.ndarray, first: np.ndarray, same: np.ndarray | None) -> np.ndarray:
+    """For each row of a the sums of its distances to the runs of rows of b that begin at `first`, without the pairs that `same` tells. Squared
+    distances come from one product; those so small that it would lose digits are computed anew."""
+    middle = b.mean(0)
+    one, two = a - middle, b - middle
+    own, other = (one * one).sum(1), (two * two).sum(1)
+    left, right = np.column_stack([one, own, np.ones(len(a))]), np.vstack([-2.0 * two.T, np.ones(len(b)), other])
+    small, out = 1e-4 * (own + other.max()), np.empty((len(a), len(first)))
+    for at in range(0, len(a), ROWS_AT_ONCE):
+        to = min(at + ROWS_AT_ONCE, len(a))
+        d = left[at:to] @ right
+        for i in np.flatnonzero(d.min(1) < small[at:to]):
+            j = np.flatnonzero(d[i] < small[at + i])
+            d[i, j] = ((a[at + i] - b[j]) ** 2).sum(1)
+        if same is not None:
+            d[same[at:to]] = 0.0
+        out[at:to] = np.add.reduceat(np.sqrt(d, out=d), first, axis=1)
+    return out
+
+
+def silhouette(points: DataFrame, key: str, vec: str, label: str, block_rows: int = 2048) -> DataFrame:
+    """Euclidean silhouette of each point: (b - a) / max(a, b), with a = 0 for a cluster of one and null for one cluster alone. Points
+    without a vector take no part.
 
-    Every pair's distance is needed, so points are packed into blocks of about `block_rows`, every block meets every block (an equality
-    join on the block's number), and a task turns two blocks into sums by point and label; so what moves is one row per point, label and
-    pair of blocks."""
+    Every pair's distance is needed, so points are packed into blocks of about `block_rows`, and each task reads its block and one part of
+    all others (a Cartesian product, which keeps no copies on disk), of about RIGHT_BYTES; it leaves a sum for each of its points, label
+    and part."""
     ready(points.sparkSession)
-    blocks = max(1, -(-points.count() // block_rows))
-    own = points.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("long").alias("l"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"))
-    packed = own.groupBy("b").agg(F.collect_list("k").alias("k"), F.collect_list("v").alias("v"), F.collect_list("l").alias("l"))
-    left = packed.select("k", "v", "l", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    pairs = left.join(packed.select("b", F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("l").alias("l2")), "b").drop("b")
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                a, b, other = np.stack(r.v), np.stack(r.v2), np.asarray(r.l2)
-                d = np.stack([np.sqrt(((b - x) ** 2).sum(1)) for x in a])
-                d[np.asarray(r.k)[:, None] == np.asarray(r.k2)[None, :]] = np.nan
-                names = np.unique(other)
-                for one in names:
-                    part = d[:, other == one]
-                    yield pd.DataFrame({"k": r.k, "l": r.l, "l2": one, "s": np.nansum(part, 1), "n": (~np.isnan(part)).sum(1)})
+    total, dim = points.agg(F.count("*"), F.coalesce(F.max(F.size(vec)), F.lit(1))).first()
+    blocks = max(1, -(-total // block_rows), min(16, -(-total // 64)))
+    parts = max(1, -(-total * dim * 8 // RIGHT_BYTES))
+    numbers = F.col(vec) if points.schema[vec].dataType.simpleString() == "array<float>" else F.col(vec).cast("array<double>")
+    own = points.where(F.col(vec).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("b"), F.struct(F.col(key).alias("k"), numbers.alias("v"), F.col(label).cast("long").alias("l")).alias("p"))
+    packed = own.groupBy("b").agg(F.collect_list("p").alias("p"))
+    others = own.where("p.l is not null").groupBy("b").agg(F.collect_list("p").alias("p2")).withColumnRenamed("b", "b2")
+    pairs = packed.repartition(min(blocks, MOST_LEFT)).crossJoin(others.repartition(min(parts, blocks)).hint("shuffle_replicate_nl"))
+
+    def block(p: pa.StructArray) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        return p.field("k"), p.field("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(p), -1), p.field("l")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[int, tuple] = {}  # of each own block: keys, vectors, labels, and by label of the others sums and numbers
+        for batch in batches:
+            b, p, b2, p2 = (batch.column(c) for c in ("b", "p", "b2", "p2"))
+            for i in range(len(batch)):
+                if (at := b[i].as_py()) not in left:
+                    left[at] = (*block(p[i].values), {})
+                k, v, _, found = left[at]
+                k2, v2, l2 = block(p2[i].values)
+                l2 = l2.to_numpy()
+                order = np.argsort(l2, kind="stable")
+                names, first, n = np.unique(l2[order], return_index=True, return_counts=True)
+                same, lost = None, 0
+                if at == b2[i].as_py():  # equal keys are in blocks of one number
+                    same = np.equal.outer(k.to_numpy(zero_copy_only=False), k2.to_numpy(zero_copy_only=False)[order])
+                    lost = np.add.reduceat(same.astype(np.int64), first, axis=1)
+                s, n = _distance_sums(v, v2[order], first, same), n[None, :] - lost + np.zeros((len(v), 1), np.int64)
+                for j, name in enumerate(names.tolist()):
+                    was = found.get(name, (0.0, 0))
+                    found[name] = (was[0] + s[:, j], was[1] + n[:, j])
+        for k, _, l, found in left.values():
+            for name, (s, n) in found.items():
+                yield pa.RecordBatch.from_arrays([k, l, pa.array(np.full(len(k), name)), pa.array(s), pa.array(n)], names=["k", "l", "l2", "s", "n"])
 
     kind = points.schema[key].dataType.simpleString()
-    met = pairs.mapInPandas(sums, f"k {kind}, l long, l2 long, s double, n long").where("n > 0").groupBy("k", "l", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    met = pairs.mapInArrow(sums, f"k {kind}, l long, l2 long, s double, n long").where("n > 0").groupBy("k", "l", "l2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     mean = F.col("s") / F.col("n")
     ab = met.groupBy("k", "l").agg(F.coalesce(F.max(F.when(F.col("l") == F.col("l2"), mean)), F.lit(0.0)).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), mean)).alias("b"))
     return ab.select(F.col("k").alias(key), F.col("l").cast(points.schema[label].dataType).alias(label), F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")).alias("silhouette"))

@@ -219,6 +219,24 @@ def test_silhouette_against_plain_loops(spark):
         assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
+def test_silhouette_copies_no_points(spark, monkeypatch):
+    """Far off the origin, with copies and a cluster of copies: as by plain loops over several blocks and parts; blocks meet without being
+    spread (no Generate) or dealt by pair."""
+    monkeypatch.setattr(clusters, "RIGHT_BYTES", 1000)
+    rng = np.random.default_rng(1)
+    v, lab = rng.normal(size=(90, 4)) + 1000.0, [0] * 30 + [1] * 50 + [2] * 10
+    v[40:45], v[5], v[80:] = v[39], v[50], v[80]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], lab[i]) for i in range(90)], "k long, v array<double>, l int")
+    done = clusters.silhouette(df, "k", "v", "l", 20)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    got = {r["k"]: r["silhouette"] for r in done.collect()}
+    for i in range(90):
+        d = {c: np.mean([np.linalg.norm(v[i] - v[j]) for j in range(90) if lab[j] == c and j != i]) for c in (0, 1, 2)}
+        a, b = d[lab[i]], min(x for c, x in d.items() if c != lab[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
+
+
 def test_choose_k_and_adjust(spark):
     pts = [(float(x + dx), float(x + dy)) for x in (0, 50, 100) for dx in range(3) for dy in range(3)]
     k, done = clusters.choose_k(spark.createDataFrame(pts, "x double, y double"), ["x", "y"], 5)
